@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.llm import encode, pack
+from recallforge.llm import chunk, encode, pack, sketch
 from recallforge.sources.tables import table
 
 
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.cut_texts(table(spark, sf_dir, "page_records", "record_id", "text"), table(spark, sf_dir, "chunking_configs"), "record_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable configs and the records that they cut."""
+    return _cuts(spark, sf_dir).where(F.size("starts") > 1).select("config_id", "record_id")
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every oversized record, as a span of its text."""
+    return chunk.pieces(_cuts(spark, sf_dir))
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per setup and per setup and day, with the error of each rank."""
+    timings = table(spark, sf_dir, "timings", "timing_id", "setup", "seconds", "timed_at")
+    runs = table(spark, sf_dir, "retrieval_rows", "run_id", "setup", "retrieval_p50_ms", "rerank_p50_ms", "run_at")
+
+    def of(df: DataFrame, key: str, column: str, at: str) -> DataFrame:
+        return sketch.measurements(df, key, F.col(column), F.lit(column).alias("metric"), F.col("setup"), F.to_date(at).alias("day"))
+
+    values = (
+        of(timings, "timing_id", "seconds", "timed_at")
+        .unionByName(of(runs, "run_id", "retrieval_p50_ms", "run_at"))
+        .unionByName(of(runs, "run_id", "rerank_p50_ms", "run_at"))
+    )
+    return sketch.percentiles_by_day(values, ["metric", "setup"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -24,7 +54,13 @@ def p7_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p7_loads": p7_loads}
+    return {
+        "p1_found": p1_found,
+        "p1_pieces": p1_pieces,
+        "p2_percentiles": p2_percentiles,
+        "p6_ids": p6_ids,
+        "p7_loads": p7_loads,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
