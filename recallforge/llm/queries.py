@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.llm import chunk, encode, pack, sketch
+from recallforge.llm import chunk, encode, language, pack, pairs, sketch
 from recallforge.sources.tables import table
 
 
@@ -39,6 +39,12 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.percentiles_by_day(values, ["metric", "setup"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that do not fit their question, with the defect."""
+    model = language.fit(table(spark, sf_dir, "documents", "text", "lang"))
+    return pairs.find_defects(table(spark, sf_dir, "answers", "answer_id", "question", "text"), model)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -58,6 +64,7 @@ def queries() -> dict:
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
         "p2_percentiles": p2_percentiles,
+        "p3_found": p3_found,
         "p6_ids": p6_ids,
         "p7_loads": p7_loads,
     }
