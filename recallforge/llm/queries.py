@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.llm import chunk, encode, language, pack, pairs, sketch
+from recallforge.llm import chunk, consensus, encode, language, pack, pairs, sketch
+from recallforge.session import cut_lineage
 from recallforge.sources.tables import table
 
 
@@ -45,6 +46,34 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.find_defects(table(spark, sf_dir, "answers", "answer_id", "question", "text"), model)
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "dataset_rows", "id", "annotations").select(
+        "id", F.explode(F.arrays_zip("annotations.id", "annotations.long_answer.candidate_index")).alias("x")
+    )
+    flat = rows.select("id", F.col("x").getField("id").alias("annotator"), F.col("x").getField("candidate_index").alias("label"))
+    return cut_lineage(consensus.votes(flat, "id", "annotator", "label"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long-answer candidate of every id on which its annotators agree."""
+    return p5_consensus(spark, sf_dir).select("id", "candidate_index")
+
+
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate of every id, with the support of the weights and the agreement."""
+    voted = _votes(spark, sf_dir)
+    chance = consensus.chance_of(voted)
+    reliability = cut_lineage(consensus.reliabilities(consensus.agreement(voted, chance)))
+    found = consensus.consensus(voted, reliability, chance)
+    return found.select(F.col("item").alias("id"), F.col("label").cast("int").alias("candidate_index"), "support", "agreement", "votes")
+
+
+def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reliability of every annotator, over all rows."""
+    voted = _votes(spark, sf_dir)
+    return consensus.reliabilities(consensus.agreement(voted, consensus.chance_of(voted)))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -65,6 +94,9 @@ def queries() -> dict:
         "p1_pieces": p1_pieces,
         "p2_percentiles": p2_percentiles,
         "p3_found": p3_found,
+        "p5_found": p5_found,
+        "p5_consensus": p5_consensus,
+        "p5_annotators": p5_annotators,
         "p6_ids": p6_ids,
         "p7_loads": p7_loads,
     }
