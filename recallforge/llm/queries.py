@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.llm import chunk, consensus, encode, language, pack, pairs, sketch
+from recallforge.llm import chunk, consensus, encode, garbled, language, pack, pairs, sketch
 from recallforge.session import cut_lineage
 from recallforge.sources.tables import table
 
@@ -88,6 +88,17 @@ def p7_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read in a wrong encoding, with their text as far as it could be restored."""
+    cost = garbled.fit(table(spark, sf_dir, "documents", "text", "lang"))
+    return garbled.find_garbled(table(spark, sf_dir, "documents", "doc_id", "text"), cost)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read in a wrong encoding."""
+    return p8_repaired(spark, sf_dir).select("doc_id")
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -99,6 +110,8 @@ def queries() -> dict:
         "p5_annotators": p5_annotators,
         "p6_ids": p6_ids,
         "p7_loads": p7_loads,
+        "p8_found": p8_found,
+        "p8_repaired": p8_repaired,
     }
 
 
