@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.llm import chunk, consensus, encode, garbled, language, pack, pairs, sketch
+from recallforge.llm import chunk, consensus, encode, garbled, language, pack, pairs, sketch, survivors
 from recallforge.session import cut_lineage
 from recallforge.sources.tables import table
 
@@ -46,6 +46,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.find_defects(table(spark, sf_dir, "answers", "answer_id", "question", "text"), model)
 
 
+_PAGE = ("record_id", "page_id", "title", "url", "text", "blocks", "feed", "captured_at")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record whose text survives, of every page with several records."""
+    return survivors.survivors(table(spark, sf_dir, "page_records", *_PAGE)).select("page_key", "record_id")
+
+
+def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivor of every page with several records, field by field."""
+    records = table(spark, sf_dir, "page_records", *_PAGE)
+    return survivors.survivor_fields(records, survivors.survivors(records))
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "dataset_rows", "id", "annotations").select(
         "id", F.explode(F.arrays_zip("annotations.id", "annotations.long_answer.candidate_index")).alias("x")
@@ -105,6 +119,8 @@ def queries() -> dict:
         "p1_pieces": p1_pieces,
         "p2_percentiles": p2_percentiles,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_survivors": p4_survivors,
         "p5_found": p5_found,
         "p5_consensus": p5_consensus,
         "p5_annotators": p5_annotators,
