@@ -18,6 +18,9 @@ from recallforge.session import cut_lineage
 #: Patterns of reports: products of a few levels and of the feeds.
 MAX_PATTERNS = 200_000
 ROUNDS = 60
+#: Reports of damage, how often a sound text has one, and the weight of that prior.
+DAMAGE = {"elsewhere": "true", "says": "false", "markup": "true", "tail": "true", "extended": "true"}
+RARELY, STRENGTH = 0.0001, 20
 #: Complete paragraphs that a word must end to be a usual last word.
 USUAL = 3
 WITNESSES = ["feed", "blocks", "elsewhere", "says", "markup", "own", "tail", "extended", "ending"]
@@ -120,19 +123,20 @@ def learn(patterns: list[tuple], counts: list[int], rounds: int = ROUNDS) -> np.
     The start believes that a text is sound unless a witness of damage speaks; rounds then
     infer the prior and of every source how often it reports each level on either side.
     """
-    start = {"elsewhere": "true", "says": "false", "markup": "true", "tail": "true", "extended": "true"}
-    bad = np.array([any(p[WITNESSES.index(w)] == v for w, v in start.items()) for p in patterns])
+    bad = np.array([any(p[WITNESSES.index(w)] == v for w, v in DAMAGE.items()) for p in patterns])
     sound, n = np.where(bad, 0.02, 0.95), np.asarray(counts, float)
     coded = []
-    for column in zip(*patterns, strict=True):
+    for witness, column in zip(WITNESSES, zip(*patterns, strict=True), strict=True):
         levels = sorted({x for x in column if x is not None})
-        coded.append((np.array([levels.index(x) if x is not None else -1 for x in column]), len(levels)))
+        # witnesses of damage are specific: a prior as heavy as STRENGTH times the data
+        rare = np.array([RARELY if x == DAMAGE[witness] else 1 - RARELY for x in levels]) if witness in DAMAGE else np.zeros(len(levels))
+        coded.append((np.array([levels.index(x) if x is not None else -1 for x in column]), len(levels), STRENGTH * n.sum() * rare))
     for _ in range(rounds):
         odds = np.log((n @ sound + 1) / (n @ (1 - sound) + 1)) * np.ones(len(n))
-        for level, size in coded:
+        for level, size, prior in coded:
             if size > 1:
                 seen = level >= 0
-                yes = np.bincount(level[seen], (n * sound)[seen], size) + 0.5
+                yes = np.bincount(level[seen], (n * sound)[seen], size) + 0.5 + prior
                 no = np.bincount(level[seen], (n * (1 - sound))[seen], size) + 0.5
                 odds[seen] += (np.log(yes / yes.sum()) - np.log(no / no.sum()))[level[seen]]
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
