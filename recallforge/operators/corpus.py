@@ -24,9 +24,9 @@ def best_revision(records: DataFrame, key: str, text: str, order: str) -> DataFr
 
     Null keys and texts without words have none. One aggregation, combined before the shuffle.
     """
-    counted = records.withColumn("words", F.size(tx.words(F.col(text)))).where(F.col(key).isNotNull() & (F.col("words") > 0))
+    counted = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).withColumn("words", F.size(tx.words(F.col(text))))
     best = F.max_by(F.struct(*[F.col(c) for c in counted.columns if c != key]), F.struct("words", -F.col(order)))
-    return counted.groupBy(key).agg(best.alias("x")).select(key, "x.*")
+    return counted.groupBy(key).agg(best.alias("x")).select(key, "x.*").where("words > 0")
 
 
 def pages(records: DataFrame) -> DataFrame:

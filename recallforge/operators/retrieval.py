@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallforge.functions import text as tx
+from recallforge.session import cut_lineage
 
 #: Questions scored in one pass over the index.
 QUESTION_BLOCK = 20_000
@@ -30,7 +31,8 @@ def postings(chunks: DataFrame, k1: float = 0.9, b: float = 0.4, stems: DataFram
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be at least 0 and b between 0 and 1")
-    tokens = chunks.select("chunk_id", "page_id", tx.tokenize(F.col("text")).alias("terms"))
+    # read three times below: terms are split once and written to the shared folder
+    tokens = cut_lineage(chunks.select("chunk_id", "page_id", tx.tokenize(F.col("text")).alias("terms")))
     totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
     counted = tokens.select("chunk_id", "page_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
     if stems is not None:
@@ -74,7 +76,7 @@ def bm25_search(chunks: DataFrame, questions: DataFrame, depth: int = 100, k1: f
     shuffled are candidates and not one row for each question, term and chunk. Questions come
     in blocks of at most ``QUESTION_BLOCK``, whatever their number.
     """
-    index = postings(chunks, k1, b).repartition("chunk_id").cache()
+    index = cut_lineage(postings(chunks, k1, b).repartition("chunk_id"))
     # blocks of questions by hash: few and bounded, each scored in a pass of its own
     terms = query_terms(questions).groupBy("question_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms"))
     blocks = 1 + questions.count() // QUESTION_BLOCK

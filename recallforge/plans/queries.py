@@ -19,11 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(text: str | None = None):
+def query(text: str | None = None, **types: str):
+    """Register a query and its SQL; ``types`` name columns whose SQL type is cast to Spark's."""
+
     def add(function):
         QUERIES[function.__name__] = function
+        casts = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for t, columns in types.items() for c in columns.split())
         if text:
-            SQL[function.__name__] = text
+            SQL[function.__name__] = f"SELECT * REPLACE ({casts}) FROM ({text})" if casts else text
         return function
 
     return add
@@ -48,7 +51,7 @@ def _spans(asked):
 # Text
 
 
-@query(f"SELECT doc_id, len({sql.terms('text')}) AS terms, len(list_distinct({sql.terms('text')})) AS distinct_terms, len({sql.words('text')}) AS words FROM documents")
+@query(f"SELECT doc_id, len({sql.terms('text')}) AS terms, len(list_distinct({sql.terms('text')})) AS distinct_terms, len({sql.words('text')}) AS words FROM documents", INTEGER="terms distinct_terms words")
 def tokenize_counts(spark, sf):
     terms = tx.tokenize(F.col("text"))
     return table(spark, sf, "documents", "doc_id", "text").select(
@@ -81,7 +84,7 @@ def prompts(spark, sf):
     )
 
 
-@query("SELECT doc_id, substr(sha256(text), 1, 32) AS text_key, 'nq-' || substr(sha256(text), 1, 12) AS page_id, split_part(text, chr(10), 1) AS heading, CASE WHEN instr(text, chr(10)) > 0 THEN length(text) - instr(text, chr(10)) ELSE 0 END AS body_length FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, substr(sha256(text), 1, 32) AS text_key, 'nq-' || substr(sha256(text), 1, 12) AS page_id, split_part(text, chr(10), 1) AS heading, CASE WHEN instr(text, chr(10)) > 0 THEN length(text) - instr(text, chr(10)) ELSE 0 END AS body_length FROM documents WHERE text IS NOT NULL", INTEGER="body_length")
 def text_keys(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents", "doc_id", "text").where("text IS NOT NULL").select(
@@ -100,12 +103,12 @@ def setup_names(spark, sf):
 # Corpus
 
 
-@query(f"WITH {sql.PAGES} SELECT page_id, record_id, title, words, md5(text) AS text_md5 FROM pages")
+@query(f"WITH {sql.PAGES} SELECT page_id, record_id, title, words, md5(text) AS text_md5 FROM pages", INTEGER="words")
 def best_revision(spark, sf):
     return _pages(spark, sf).select("page_id", "record_id", "title", "words", F.md5("text").alias("text_md5"))
 
 
-@query(f"WITH {sql.PAGES}, {sql.QUESTIONS} SELECT (SELECT count(*) FROM pages) AS pages, (SELECT sum(words) FROM pages) AS words, (SELECT count(*) FROM page_records) AS records, (SELECT count(*) FROM asked) AS questions, (SELECT count(*) FROM asked WHERE page_id IN (SELECT page_id FROM pages)) AS questions_with_page")
+@query(f"WITH {sql.PAGES}, {sql.QUESTIONS} SELECT (SELECT count(*) FROM pages) AS pages, (SELECT sum(words) FROM pages) AS words, (SELECT count(*) FROM page_records) AS records, (SELECT count(*) FROM asked) AS questions, (SELECT count(*) FROM asked WHERE page_id IN (SELECT page_id FROM pages)) AS questions_with_page", BIGINT="words")
 def build_counters(spark, sf):
     return corpus.build_report(table(spark, sf, "page_records", "record_id"), _pages(spark, sf), _asked(spark, sf))
 
@@ -114,13 +117,13 @@ def build_counters(spark, sf):
 c AS (SELECT id, len(list_filter(l, lambda x: x.start_token <> -1)) AS longs, len(list_filter(s, lambda x: len(x.text) > 0)) AS shorts,
   list_filter(range(1, len(l) + 1), lambda i: l[i].start_token <> -1 AND len(s[i].text) > 0)[1] AS f, l, s FROM one),
 a AS (SELECT *, longs >= 2 AND shorts >= 2 AND f IS NOT NULL AS agreed FROM c)
-SELECT id, longs, shorts, agreed, CASE WHEN agreed THEN l[f].candidate_index END AS candidate_index, CASE WHEN agreed THEN l[f].start_token END AS start_token, CASE WHEN agreed THEN l[f].end_token END AS end_token, CASE WHEN agreed THEN array_to_string(s[f].text, '|') END AS answers FROM a""")
+SELECT id, longs, shorts, agreed, CASE WHEN agreed THEN l[f].candidate_index END AS candidate_index, CASE WHEN agreed THEN l[f].start_token END AS start_token, CASE WHEN agreed THEN l[f].end_token END AS end_token, CASE WHEN agreed THEN array_to_string(s[f].text, '|') END AS answers FROM a""", INTEGER="longs shorts")
 def agreed_answers(spark, sf):
     return corpus.agreed_answers(table(spark, sf, "dataset_rows", "id", "annotations", "received_at")).withColumn("answers", F.array_join("answers", "|"))
 
 
 @query(f"""WITH {sql.PAGES}, {sql.QUESTIONS} SELECT question_id, CASE WHEN instr(text, short_answers[1]) > 0 THEN instr(text, short_answers[1]) - 1 END AS "start",
-CASE WHEN instr(text, short_answers[1]) > 0 THEN instr(text, short_answers[1]) - 1 + length(short_answers[1]) END AS "end" FROM asked LEFT JOIN pages USING (page_id) WHERE length(short_answers[1]) > 0""")
+CASE WHEN instr(text, short_answers[1]) > 0 THEN instr(text, short_answers[1]) - 1 + length(short_answers[1]) END AS "end" FROM asked LEFT JOIN pages USING (page_id) WHERE length(short_answers[1]) > 0""", INTEGER="start end")
 def answer_relocation(spark, sf):
     spans = _asked(spark, sf).select("question_id", F.col("page_id").alias("key"), F.try_element_at("short_answers", F.lit(1)).alias("passage")).where("length(passage) > 0")
     return corpus.relocate(spans, _pages(spark, sf).select(F.col("page_id").alias("key"), "text")).select("question_id", "start", "end")
@@ -128,7 +131,7 @@ def answer_relocation(spark, sf):
 
 @query("""WITH t AS (SELECT record_id, b.header AS h, b.rows AS r FROM (SELECT record_id, unnest(blocks) AS b FROM page_records) WHERE b.kind = 'table' AND b.rows IS NOT NULL)
 SELECT record_id, md5(array_to_string(list_transform(r, lambda row: array_to_string(list_transform(range(1, len(row) + 1), lambda i: CASE WHEN coalesce(h[i], '') <> '' THEN h[i] || ': ' || row[i] ELSE row[i] END), ' | ')), chr(10))) AS table_md5,
-md5(array_to_string(flatten(r), ' ')) AS flat_md5, len(r) AS lines FROM t""")
+md5(array_to_string(flatten(r), ' ')) AS flat_md5, len(r) AS lines FROM t""", INTEGER="lines")
 def table_serialise(spark, sf):
     blocks = table(spark, sf, "page_records", "record_id", "blocks").select("record_id", F.explode("blocks").alias("b")).where("b.kind = 'table' AND b.rows IS NOT NULL")
     return blocks.select(
@@ -141,13 +144,13 @@ KEPT = f"""kept AS (SELECT record_id, b, i FROM (SELECT record_id, unnest(blocks
 placed AS (SELECT record_id, b.kind AS kind, b.section AS section, sum(length(b.text) + 2) OVER (PARTITION BY record_id ORDER BY i) - length(b.text) - 2 AS "start", length(b.text) AS n, i FROM kept)"""
 
 
-@query(f'WITH {KEPT} SELECT record_id, kind, section, "start", "start" + n AS "end" FROM placed')
+@query(f'WITH {KEPT} SELECT record_id, kind, section, "start", "start" + n AS "end" FROM placed', INTEGER="start end")
 def drop_boilerplate(spark, sf):
     return table(spark, sf, "page_records", "record_id", "blocks").select("record_id", F.inline(corpus.page_blocks(F.col("blocks")))).select("record_id", "kind", "section", "start", "end")
 
 
 @query(f"""WITH {KEPT}, changed AS (SELECT *, CASE WHEN lag(section) OVER (PARTITION BY record_id ORDER BY i) IS NOT DISTINCT FROM section AND row_number() OVER (PARTITION BY record_id ORDER BY i) > 1 THEN 0 ELSE 1 END AS c FROM placed),
-g AS (SELECT *, sum(c) OVER (PARTITION BY record_id ORDER BY i) AS grp FROM changed) SELECT record_id, grp AS section_group, min(section) AS section, count(*) AS blocks, min("start") AS "start", max("start" + n) AS "end" FROM g GROUP BY record_id, grp""")
+g AS (SELECT *, sum(c) OVER (PARTITION BY record_id ORDER BY i) AS grp FROM changed) SELECT record_id, grp AS section_group, min(section) AS section, count(*) AS blocks, min("start") AS "start", max("start" + n) AS "end" FROM g GROUP BY record_id, grp""", BIGINT="section_group", INTEGER="start end")
 def section_groups(spark, sf):
     blocks = table(spark, sf, "page_records", "record_id", "blocks").select("record_id", F.posexplode(corpus.page_blocks(F.col("blocks"))).alias("i", "b"))
     order = Window.partitionBy("record_id").orderBy("i")
@@ -159,7 +162,7 @@ def section_groups(spark, sf):
 # Chunks
 
 
-@query(f'WITH {sql.PAGES}, {sql.chunks()} SELECT chunk_id, page_id, position, "start", "end", md5(text) AS text_md5 FROM chunks')
+@query(f'WITH {sql.PAGES}, {sql.chunks()} SELECT chunk_id, page_id, position, "start", "end", md5(text) AS text_md5 FROM chunks', INTEGER="position start end")
 def chunk_fixed_words(spark, sf):
     return _chunks(spark, sf).select("chunk_id", "page_id", "position", "start", "end", F.md5("text").alias("text_md5"))
 
@@ -205,12 +208,12 @@ def postings_weights(spark, sf):
     return retrieval.postings(_chunks(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("top"))
 
 
-@query(f"WITH {sql.BM25}, {sql.ranked(10)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking")
+@query(f"WITH {sql.BM25}, {sql.ranked(10)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking", INTEGER="rank")
 def bm25_topk(spark, sf):
     return retrieval.bm25_search(_chunks(spark, sf), _asked(spark, sf), 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {sql.BM25}, {sql.ranked(5)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking")
+@query(f"WITH {sql.BM25}, {sql.ranked(5)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking", INTEGER="rank")
 def bm25_join_topk(spark, sf):
     scores = retrieval.bm25_scores(retrieval.postings(_chunks(spark, sf)), retrieval.query_terms(_asked(spark, sf)))
     return retrieval.rank(scores, 5, positive_only=True).withColumn("score", F.round("score", 6))
@@ -239,7 +242,7 @@ def _dense(spark, sf):
     return scores, labels.select("question_id", F.col("chunk_id").alias("doc_id"), F.lit(1).alias("grade"))
 
 
-@query(f"WITH {sql.DENSE} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM ranking WHERE rank <= 20")
+@query(f"WITH {sql.DENSE} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM ranking WHERE rank <= 20", INTEGER="rank")
 def dense_topk(spark, sf):
     return retrieval.rank(_dense(spark, sf)[0], 20).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -254,7 +257,7 @@ def encode_distinct(spark, sf):
 @query(f"""WITH {sql.DENSE}, second AS (SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY md5(question_id || chunk_id), chunk_id) AS rank, chunk_id, page_id FROM scores) WHERE rank <= 50),
 gains AS (SELECT question_id, chunk_id, page_id, 1.0 / (60 + rank) AS g FROM ranking WHERE rank <= 50 UNION ALL SELECT question_id, chunk_id, page_id, 1.0 / (60 + rank) FROM second),
 fused AS (SELECT question_id, chunk_id, page_id, round(sum(g), 9) AS score FROM gains GROUP BY ALL)
-SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, page_id, score FROM fused) WHERE rank <= 30""")
+SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, page_id, score FROM fused) WHERE rank <= 30""", INTEGER="rank")
 def rrf_fusion(spark, sf):
     scores, _ = _dense(spark, sf)
     second = Window.partitionBy("question_id").orderBy(F.md5(F.concat("question_id", "chunk_id")), "chunk_id")
@@ -262,7 +265,7 @@ def rrf_fusion(spark, sf):
     return retrieval.fuse([retrieval.rank(scores, 100), other], 30, candidates=50)
 
 
-@query(f"WITH {sql.DENSE}, best AS (SELECT question_id, page_id, max(score) AS score, min(chunk_id) FILTER (score = top) AS best_chunk_id FROM (SELECT *, max(score) OVER (PARTITION BY question_id, page_id) AS top FROM scores) GROUP BY ALL) SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, page_id) AS rank, page_id, round(score, 6) AS score, best_chunk_id FROM best) WHERE rank <= 20")
+@query(f"WITH {sql.DENSE}, best AS (SELECT question_id, page_id, max(score) AS score, min(chunk_id) FILTER (score = top) AS best_chunk_id FROM (SELECT *, max(score) OVER (PARTITION BY question_id, page_id) AS top FROM scores) GROUP BY ALL) SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, page_id) AS rank, page_id, round(score, 6) AS score, best_chunk_id FROM best) WHERE rank <= 20", INTEGER="rank")
 def maxp_pages(spark, sf):
     return retrieval.rank_pages(_dense(spark, sf)[0], 20).withColumn("score", F.round("score", 6))
 
@@ -270,14 +273,14 @@ def maxp_pages(spark, sf):
 RERANK = f"""rescored AS (SELECT *, CASE WHEN rank <= 50 THEN ascii(md5(question_id || chunk_id)) END AS rescore FROM ranking)"""
 
 
-@query(f"WITH {sql.DENSE}, {RERANK} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank > 50, CASE WHEN rank <= 50 THEN -rescore END NULLS LAST, rank) AS rank, chunk_id, rank AS first_rank FROM rescored")
+@query(f"WITH {sql.DENSE}, {RERANK} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank > 50, CASE WHEN rank <= 50 THEN -rescore END NULLS LAST, rank) AS rank, chunk_id, rank AS first_rank FROM rescored", INTEGER="rank first_rank")
 def rerank_head_tail(spark, sf):
     ranking = retrieval.rank(_dense(spark, sf)[0], 100)
     scored = ranking.where("rank <= 50").select("question_id", "chunk_id", F.ascii(F.md5(F.concat("question_id", "chunk_id"))).alias("rescore"))
     return retrieval.rerank(ranking, scored, 50).select("question_id", "rank", "chunk_id", "first_rank")
 
 
-@query(f"WITH {sql.DENSE}, f AS (SELECT question_id, page_id, min(rank) AS f FROM ranking GROUP BY ALL) SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY f) AS rank, page_id FROM f")
+@query(f"WITH {sql.DENSE}, f AS (SELECT question_id, page_id, min(rank) AS f FROM ranking GROUP BY ALL) SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY f) AS rank, page_id FROM f", INTEGER="rank")
 def rerank_pages(spark, sf):
     return retrieval.pages_of(retrieval.rank(_dense(spark, sf)[0], 100))
 
@@ -459,7 +462,7 @@ def golden_slice(spark, sf):
 
 
 @query("""SELECT setup, count(*) AS answers, round(count(*) FILTER (coalesce(declined, false)) / count(*), 6) AS declined, sum(greatest(coalesce(prompt_tokens, 0), 0)) AS prompt_tokens, sum(greatest(coalesce(output_tokens, 0), 0)) AS output_tokens,
-round(coalesce(sum(seconds), 0), 4) AS seconds, round(coalesce(avg(seconds), 0), 6) AS mean, round(coalesce(quantile_cont(seconds, 0.5), 0), 6) AS p50, round(coalesce(quantile_disc(seconds, 0.95), 0), 6) AS p95 FROM answers GROUP BY setup""")
+round(coalesce(sum(seconds), 0), 4) AS seconds, round(coalesce(avg(seconds), 0), 6) AS mean, round(coalesce(quantile_cont(seconds, 0.5), 0), 6) AS p50, round(coalesce(quantile_disc(seconds, 0.95), 0), 6) AS p95 FROM answers GROUP BY setup""", BIGINT="prompt_tokens output_tokens")
 def answer_summary(spark, sf):
     found = an.summary(table(spark, sf, "answers", "setup", "declined", "prompt_tokens", "output_tokens", "seconds"))
     return found.select("setup", "answers", F.round("declined", 6).alias("declined"), "prompt_tokens", "output_tokens", F.round("seconds", 4).alias("seconds"), *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")])
@@ -531,18 +534,18 @@ def _table(spark, sf):
     return report.setup_table(report.latest_runs(table(spark, sf, "retrieval_rows")), "passage_ndcg_at_10")
 
 
-@query(f"WITH {sql.LATEST} SELECT place, setup, passage_ndcg_at_10, passage_recall_at_10, page_recall_at_10 FROM tabled")
+@query(f"WITH {sql.LATEST} SELECT place, setup, passage_ndcg_at_10, passage_recall_at_10, page_recall_at_10 FROM tabled", INTEGER="place")
 def setup_table(spark, sf):
     return _table(spark, sf).select("place", "setup", "passage_ndcg_at_10", "passage_recall_at_10", "page_recall_at_10")
 
 
 @query(f"""WITH {sql.LATEST}, k AS (SELECT setup, place FROM tabled WHERE passage_ndcg_at_10 IS NOT NULL), o AS (SELECT setup, CASE WHEN setup = 'fixed-bm25' THEN -2 WHEN place = (SELECT max(place) FROM k WHERE setup <> 'fixed-bm25') THEN -1 ELSE place END AS ord FROM k)
-SELECT row_number() OVER (ORDER BY ord) AS choice, setup FROM o QUALIFY choice <= 5""")
+SELECT row_number() OVER (ORDER BY ord) AS choice, setup FROM o QUALIFY choice <= 5""", INTEGER="choice")
 def stage_two_selection(spark, sf):
     return report.select_setups(_table(spark, sf), "passage_ndcg_at_10")
 
 
-@query(f"WITH {sql.LATEST} SELECT setup, 'passage_ndcg_at_10' AS metric, 0.45 AS expected, 0.05 AS tolerance, passage_ndcg_at_10 AS value, coalesce(passage_ndcg_at_10 >= 0.45 - 0.05, false) AS passed FROM tabled")
+@query(f"WITH {sql.LATEST} SELECT setup, 'passage_ndcg_at_10' AS metric, 0.45 AS expected, 0.05 AS tolerance, passage_ndcg_at_10 AS value, coalesce(passage_ndcg_at_10 >= 0.45 - 0.05, false) AS passed FROM tabled", DOUBLE="expected tolerance")
 def gate_check(spark, sf):
     measured = _table(spark, sf).select("setup", F.lit("passage_ndcg_at_10").alias("metric"), F.col("passage_ndcg_at_10").alias("value"))
     baseline = measured.select("setup", "metric", F.lit(0.45).alias("expected"), F.lit(0.05).alias("tolerance"))
@@ -566,17 +569,17 @@ def question_browser(spark, sf):
     return report.browse(_asked(spark, sf), "Where", "paragraph").select("question_id", "question")
 
 
-@query(f"WITH {sql.DENSE} SELECT question_id, rank, question_id || ' Q0 ' || chunk_id || ' ' || rank || ' ' || (count(*) OVER (PARTITION BY question_id) - rank + 1) || ' dense' AS line FROM ranking")
+@query(f"WITH {sql.DENSE} SELECT question_id, rank, question_id || ' Q0 ' || chunk_id || ' ' || rank || ' ' || (count(*) OVER (PARTITION BY question_id) - rank + 1) || ' dense' AS line FROM ranking", INTEGER="rank")
 def trec_run_rows(spark, sf):
     return report.trec_rows(retrieval.rank(_dense(spark, sf)[0], 100), "dense")
 
 
-@query(f"WITH {sql.BM25}, {sql.ranked(10)}, f AS (SELECT question_id, min(rank) AS rank FROM ranking JOIN chunks USING (chunk_id) JOIN asked USING (question_id) WHERE {sql.contains('substr(text, instr(text, chr(10)) + 1)', 'short_answers')} GROUP BY 1) SELECT question_id, rank FROM asked LEFT JOIN f USING (question_id)")
+@query(f"WITH {sql.BM25}, {sql.ranked(10)}, f AS (SELECT question_id, min(rank) AS rank FROM ranking JOIN chunks USING (chunk_id) JOIN asked USING (question_id) WHERE {sql.contains('substr(text, instr(text, chr(10)) + 1)', 'short_answers')} GROUP BY 1) SELECT question_id, rank FROM asked LEFT JOIN f USING (question_id)", INTEGER="rank")
 def answer_text_ranks(spark, sf):
     asked, chunks = _asked(spark, sf), _chunks(spark, sf).persist()
     return report.text_ranks(retrieval.bm25_search(chunks, asked, 10), chunks, asked.select("question_id", "short_answers"), asked)
 
 
-@query(f"WITH {sql.LATEST} SELECT place, '| ' || setup || ' | ' || coalesce(printf('%.3f', round(passage_ndcg_at_10, 9)), '') || ' |' AS line FROM tabled WHERE passage_ndcg_at_10 IS NOT NULL")
+@query(f"WITH {sql.LATEST} SELECT place, '| ' || setup || ' | ' || coalesce(printf('%.3f', round(passage_ndcg_at_10, 9)), '') || ' |' AS line FROM tabled WHERE passage_ndcg_at_10 IS NOT NULL", INTEGER="place")
 def markdown_table(spark, sf):
     return report.markdown_lines(_table(spark, sf).where("passage_ndcg_at_10 IS NOT NULL"), ["setup", "passage_ndcg_at_10"])
