@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Unicode white space as a character class that Spark and DuckDB both read.
 SPACES = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = f"[^{SPACES}]+"
+_RARE_SPACES = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 TERM = r"[\p{L}\p{N}_]+"
 # ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -26,8 +27,9 @@ def tokenize(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Longest runs without white space."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    """Longest runs without white space. Rare spaces become plain ones first: the regular
+    expression then needs the plain class, which is several times faster."""
+    return F.regexp_extract_all(F.translate(text, _RARE_SPACES, " " * len(_RARE_SPACES)), F.lit(r"(\S+)"), F.lit(1))
 
 
 def normalise_answer(text: Column) -> Column:

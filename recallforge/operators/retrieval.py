@@ -76,7 +76,8 @@ def bm25_search(chunks: DataFrame, questions: DataFrame, depth: int = 100, k1: f
     shuffled are candidates and not one row for each question, term and chunk. Questions come
     in blocks of at most ``QUESTION_BLOCK``, whatever their number.
     """
-    index = cut_lineage(postings(chunks, k1, b).repartition("chunk_id"))
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = cut_lineage(postings(chunks, k1, b).repartition(tasks, "chunk_id"))
     # blocks of questions by hash: few and bounded, each scored in a pass of its own
     terms = query_terms(questions).groupBy("question_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms"))
     blocks = 1 + questions.count() // QUESTION_BLOCK
