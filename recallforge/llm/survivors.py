@@ -20,15 +20,17 @@ MAX_PATTERNS = 200_000
 ROUNDS = 60
 #: Reports of damage, how often a sound text has one, and the weight of that prior.
 DAMAGE = {"elsewhere": "true", "says": "false", "markup": "true", "tail": "true", "extended": "true"}
-RARELY, STRENGTH = 0.0001, 20
-#: Complete paragraphs that a word must end to be a usual last word.
+RARELY, STRENGTH = 0.00001, 50
+#: Complete paragraphs that two words must end to be a usual end.
 USUAL = 3
 WITNESSES = ["feed", "blocks", "elsewhere", "says", "markup", "own", "tail", "extended", "ending"]
 
 # Unicode white space, characters without width, ends of sentences, marks that
 # a text goes on elsewhere.
 _SPACE = r"[\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
-_WIDTHLESS = r"[\u200B-\u200D\u2060\uFEFF]"
+_NO_WIDTH = "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]))
+# every space but line ends, which become plain; characters without width go
+_ALIKE = "".join(map(chr, [9, 11, 12, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + _NO_WIDTH
 _COMPLETE = r"[.!?。！？][\"'”’»)\]）」]*$"
 _CONTINUED = r"(?i)(…|\.\.\.|(…|\.\.\.)?\s*(\[?(more|read on|read more|continue reading|continued)\]?|\((continued|more|read on)[^)]*\)))$"
 
@@ -53,18 +55,16 @@ def keyed(df: DataFrame) -> DataFrame:
     return rows.where("key IS NOT NULL").unionByName(found)
 
 
-def _plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _WIDTHLESS, ""), _SPACE, " "))
-
-
 def _paragraphs(text: Column) -> Column:
-    parts = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n\n+"), _plain)
+    """Paragraphs in lower case, spaces alike, without those that have nothing to read."""
+    even = F.replace(F.translate(F.lower(text), _ALIKE, " " * (len(_ALIKE) - len(_NO_WIDTH))), F.lit("\r\n"), F.lit("\n"))
+    parts = F.transform(F.split(even, "\n\n+"), lambda p: F.trim(F.regexp_replace(p, "[ \n\r]+", " ")))
     return F.filter(parts, lambda p: p != "")
 
 
 def _final(paragraph: Column) -> Column:
-    """The last word, numbers alike."""
-    return F.regexp_replace(F.regexp_extract(paragraph, r"([^\s\p{P}]+)[\p{P}\s]*$", 1), r"\d+", "0")
+    """The last two words, numbers alike."""
+    return F.regexp_replace(F.regexp_extract(F.right(paragraph, F.lit(80)), r"([^\s]+ [^\s\p{P}]+)[\p{P}\s]*$", 1), r"\d+([.,]\d+)*", "0")
 
 
 def reports(rows: DataFrame) -> DataFrame:
@@ -100,12 +100,15 @@ def reports(rows: DataFrame) -> DataFrame:
     elsewhere = there.groupBy("masked").agg((F.min("key") != F.max("key")).cast("string").alias("elsewhere"))
     own = there.where("hj IS NOT NULL").select("key", F.col("hj").alias("h"), "record_id").groupBy("key", "h").agg(F.min("record_id").alias("r1"), F.max("record_id").alias("r2"))
     # the strings that go on after a paragraph come next to it in order
-    texts = rows.select("key", F.explode(F.concat(F.coalesce(_paragraphs(F.col("text")), F.array().cast("array<string>")), F.coalesce(F.flatten(F.transform("blocks", lambda b: F.coalesce(_paragraphs(b["text"]), F.array().cast("array<string>")))), F.array().cast("array<string>")))).alias("last")).distinct()
+    none = F.array().cast("array<string>")
+    whole = F.array_join(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit(""))), "\n\n")
+    of_blocks = F.when(whole.eqNullSafe(F.col("text")), none).otherwise(F.flatten(F.transform("blocks", lambda b: F.coalesce(_paragraphs(b["text"]), none))))
+    texts = rows.select("key", F.explode(F.concat(F.coalesce(_paragraphs(F.col("text")), none), F.coalesce(of_blocks, none))).alias("last")).distinct()
     after = F.lead("last").over(Window.partitionBy("key", F.substring("last", 1, 3)).orderBy("last"))
     goes_on = F.coalesce(F.startswith("next", "last") & (F.length(F.regexp_replace(F.expr("substring(next, length(last) + 1)"), r"[\p{P}\s]", "")) >= 1), F.lit(False))
     endings = texts.withColumn("next", after).select("key", "last", goes_on.cast("string").alias("extended"))
-    complete = texts.where(F.col("last").rlike(_COMPLETE) & ~F.col("last").rlike(_CONTINUED))
-    finals = complete.groupBy(_final(F.col("last")).alias("final")).count().where(F.col("count") >= USUAL).select("final", F.lit(True).alias("usual"))
+    complete = endings.where(F.col("last").rlike(_COMPLETE) & ~F.col("last").rlike(_CONTINUED) & (F.col("extended") == "false"))
+    finals = complete.groupBy(_final(F.col("last")).alias("final")).count().where((F.col("count") >= USUAL) & (F.col("final") != "")).select("final", F.lit(True).alias("usual"))
     seen = (
         there.join(finals, "final", "left")
         .withColumn("ending", F.when((F.col("ending") == "open") & F.col("usual") & (F.col("tail") == "false"), "stop").otherwise(F.col("ending")))
