@@ -79,3 +79,27 @@ def browse(rows: DataFrame, contains: str = "", answer_type: str | None = None,
     if found is not None:
         rows = rows.where((F.col("recall") > 0) == found)
     return rows.orderBy("question_id").offset(page * size).limit(size)
+
+
+def families(setups: DataFrame, winner: str) -> DataFrame:
+    """(family, a, b): the winner against each other setup, and each reranked setup against the
+    same without."""
+    names = setups.select("setup").distinct()
+    others = names.where(F.col("setup") != winner).select(F.lit("winner").alias("family"), F.lit(winner).alias("a"), F.col("setup").alias("b"))
+    plain = names.where(F.col("setup").endswith("-rerank")).select(F.lit("rerank").alias("family"), F.col("setup").alias("a"), F.regexp_replace("setup", "-rerank$", "").alias("b"))
+    return others.unionByName(plain.join(names.select(F.col("setup").alias("b")), "b", "left_semi").select("family", "a", "b"))
+
+
+def headline(compared: DataFrame) -> DataFrame:
+    """How many comparisons there are, and in how many the first setup is surely better."""
+    return compared.agg(F.count("*").alias("compared"), F.count_if((F.col("difference") > 0) & (F.col("p_holm") < 0.05)).alias("helped"))
+
+
+def ablation(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Questions that both runs rank (question_id, rank of the first passage with an answer, null of
+    none): share found and mean reciprocal rank of each."""
+    both = first.select("question_id", F.col("rank").alias("ra")).join(second.select("question_id", F.col("rank").alias("rb")), "question_id")
+    def of(r: str) -> list:
+        return [F.avg(F.col(r).isNotNull().cast("int")).alias(f"hit_{r[1]}"), F.avg(F.coalesce(1 / F.col(r), F.lit(0.0))).alias(f"rr_{r[1]}")]
+
+    return both.agg(F.count("*").alias("n"), *of("ra"), *of("rb"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recallforge.functions import stem
 from recallforge.functions import text as tx
 from recallforge.operators import answers as an
-from recallforge.operators import chunking, corpus, report, retrieval, sampling, stats
+from recallforge.operators import chunking, corpus, models, report, retrieval, sampling, stats
 from recallforge.operators import evaluation as ev
 from recallforge.plans import sql
 from recallforge.sources.tables import table
@@ -583,3 +583,42 @@ def answer_text_ranks(spark, sf):
 @query(f"WITH {sql.LATEST} SELECT place, '| ' || setup || ' | ' || coalesce(printf('%.3f', round(passage_ndcg_at_10, 9)), '') || ' |' AS line FROM tabled WHERE passage_ndcg_at_10 IS NOT NULL", INTEGER="place")
 def markdown_table(spark, sf):
     return report.markdown_lines(_table(spark, sf).where("passage_ndcg_at_10 IS NOT NULL"), ["setup", "passage_ndcg_at_10"])
+
+
+@query(f"WITH {sql.LATEST}, w AS (SELECT setup FROM tabled WHERE place = 1) SELECT 'winner' AS family, w.setup AS a, t.setup AS b FROM tabled t, w WHERE t.setup <> w.setup UNION ALL SELECT 'rerank', a.setup, b.setup FROM tabled a JOIN tabled b ON a.setup = b.setup || '-rerank'")
+def comparison_families(spark, sf):
+    rows = _table(spark, sf)
+    return report.families(rows, rows.where("place = 1").first().setup)
+
+
+@query(f"""WITH {PAIRED}, s AS (SELECT a, b, count(*) AS n, avg(diff) AS observed, [{SIGNED}] AS sums FROM pairs GROUP BY a, b),
+p AS (SELECT a, b, observed, (len(list_filter(sums, lambda x: abs(x / n) >= abs(observed) - 1e-9)) + 1) / 100 AS p_value FROM s),
+h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p_value, a, b) + 1) * p_value) AS step FROM p),
+c AS (SELECT observed, max(step) OVER (ORDER BY p_value, a, b ROWS UNBOUNDED PRECEDING) AS p_holm FROM h) SELECT count(*) AS compared, count(*) FILTER (observed > 0 AND p_holm < 0.05) AS helped FROM c""")
+def headline_counts(spark, sf):
+    daily = _daily(spark, sf)
+    tested = stats.randomisation_by_hash(stats.paired(daily, _family(spark, daily)), 99)
+    return report.headline(stats.holm(tested, "p_value", ["a", "b"]).withColumnRenamed("observed", "difference"))
+
+
+@query(f"""WITH {sql.DENSE}, f AS (SELECT r.question_id, min(rank) AS ra FROM ranking r JOIN qrels q ON r.question_id = q.question_id AND r.chunk_id = q.doc_id WHERE rank <= 10 GROUP BY 1),
+o AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY md5(question_id || chunk_id), chunk_id) AS rank FROM scores), g AS (SELECT r.question_id, min(rank) AS rb FROM o r JOIN qrels q ON r.question_id = q.question_id AND r.chunk_id = q.doc_id WHERE rank <= 10 GROUP BY 1),
+b AS (SELECT question_id, ra, rb FROM (SELECT DISTINCT question_id FROM scores) LEFT JOIN f USING (question_id) LEFT JOIN g USING (question_id))
+SELECT count(*) AS n, round(avg(CAST(ra IS NOT NULL AS INT)), 6) AS hit_a, round(avg(coalesce(1.0 / ra, 0)), 6) AS rr_a, round(avg(CAST(rb IS NOT NULL AS INT)), 6) AS hit_b, round(avg(coalesce(1.0 / rb, 0)), 6) AS rr_b FROM b""")
+def table_ablation(spark, sf):
+    scores, qrels = _dense(spark, sf)
+    asked = scores.select("question_id").distinct()
+
+    def first(ranking):
+        met = ranking.where("rank <= 10").join(qrels.select("question_id", F.col("doc_id").alias("chunk_id")), ["question_id", "chunk_id"])
+        return asked.join(met.groupBy("question_id").agg(F.min("rank").alias("rank")), "question_id", "left")
+
+    order = Window.partitionBy("question_id").orderBy(F.md5(F.concat("question_id", "chunk_id")), "chunk_id")
+    found = report.ablation(first(retrieval.rank(scores, 100)), first(scores.withColumn("rank", F.row_number().over(order))))
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("hit_a", "rr_a", "hit_b", "rr_b")])
+
+
+@query()
+def judged_answers(spark, sf):
+    rows = table(spark, sf, "answers", "answer_id", "setup", "question", "passages", "text", "declined").where("text IS NOT NULL").withColumn("declined", F.coalesce("declined", F.lit(False)))
+    return models.judge_answers(rows, models.overlap_judge, "overlap").select("answer_id", "setup", "verdict")

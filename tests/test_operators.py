@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from recallforge.functions import sentences, stem
 from recallforge.functions import text as tx
-from recallforge.operators import answers, chunking, corpus, page_build, report, retrieval, sampling, stats
+from recallforge.operators import answers, chunking, corpus, models, page_build, report, retrieval, sampling, stats
 from recallforge.operators import evaluation as ev
-from recallforge.plans import config
+from recallforge.plans import config, grid
 from recallforge.sources import files
 from recallforge.streaming import caches
 
@@ -191,3 +191,21 @@ def test_answers(spark):
     assert math.isclose(one(spark, answers.strongest_entailment(F.array(F.lit(0.2), F.lit(0.7)))), 0.7)
     empty = answers.setup_summary(spark.createDataFrame([("s", True, False, None)], "setup string, declined boolean, contains boolean, lexical double")).first()
     assert empty.supported == 0.0 and empty.declined == 1.0
+
+
+def test_grid_files_are_valid(tmp_path):
+    (tmp_path / "old.toml").write_text("")
+    names = grid.write(str(tmp_path))
+    assert len(names) == 30 and not (tmp_path / "old.toml").exists()
+    assert {config.load(str(tmp_path / n)).name + ".toml" for n in names} == set(names)
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    asked = spark.createDataFrame([("s", "q1", "where is it", ["T\nIt is here. Not", "T\nElse"]), ("t", "q1", "where is it", ["T\nIt is here. Not", "T\nElse"])], "setup string, question_id string, question string, passages array<string>")
+    cache = files.Cache(spark, str(tmp_path / "replies"))
+    written = models.write_answers(asked, models.extractive_writer, "w", cache)
+    assert {r.text for r in written.collect()} == {"It is here. Not"} and cache.get().count() == 1
+    judged = models.judge_answers(written, models.overlap_judge, "j")
+    assert {r.verdict for r in judged.collect()} == {"supported"}
+    with pytest.raises(Exception, match="rubric"):
+        models.judge_answers(written, lambda p: ["?"] * len(p), "j").collect()
