@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallforge.llm import chunk, consensus, encode, garbled, language, pack, pairs, sketch, survivors
+from recallforge.plans.sql import words
 from recallforge.session import cut_lineage
 from recallforge.sources.tables import table
 
@@ -132,4 +133,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"SELECT config_id, record_id FROM chunking_configs JOIN page_records ON len({words('text')}) > size WHERE size >= 1 AND overlap >= 0 AND overlap < size",
+    }
