@@ -5,8 +5,9 @@ decoded strictly in the one it may have been written in. The repair is accepted
 garbling cost drops: the sum, over neighbouring characters, of how few texts have them side
 by side. Repairs repeat for nested readings.
 
-The cost is fitted here, on a sample of labelled texts; texts that a first model finds
-garbled do not take part in the second.
+The cost is counted over all whole texts, but for what UTF-8 read as something else may have
+left; texts that a first model finds garbled do not take part in the second. The rarity of
+neighbours only opens the single-byte readings: UTF-8 is tried on every run of its pattern.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts that the cost is fitted on, at most, of each language; and their characters.
-SAMPLE, SAMPLE_CHARS = 1_000, 1_000
-#: Neighbours are rare if they cost more than this.
-RARE = 8.0
+from recallforge.session import cut_lineage
+
+#: All texts of a language together count for so many at most: rare languages stay known, and
+#: costs do not depend on how many texts there are.
+WEIGHT = 1_000
+#: Neighbours are rare if they cost more than this, or if fewer other texts have them.
+RARE, FEW = 8.0, 3
 #: Drop of the cost that one repair must bring, and all repairs of a text by one pair of
 #: encodings; a single repaired run must bring more.
 LEAST, TOGETHER, ALONE = 2.0, 9.0, 6.0
@@ -39,8 +43,7 @@ WRITTEN_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "c
 MULTIBYTE = ["cp932", "euc_jp"]
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_IN_PLACE = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
-_BETWEEN = re.compile(r"[^\x00-\x7f][\x00-\x7f][^\x00-\x7f]")
+_IN_PLACE = re.compile(r"([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f�]")
 # Characters that stand by themselves in running text.
 _LONE = set("–—°àÀéÉêèáíÁ“”‘’€")
@@ -113,6 +116,28 @@ def _utf8_patterns() -> list[tuple[str, re.Pattern]]:
     return [(name, _utf8_pattern(name)) for name in READ_AS]
 
 
+@lru_cache(maxsize=1)
+def _utf8_any() -> re.Pattern:
+    return re.compile("|".join(pattern.pattern for _, pattern in _utf8_patterns()))
+
+
+def _unsuspected(run: str, chars: set[str]) -> str:
+    """The run with nulls for what UTF-8 of known ``chars`` read as something else may have left;
+    words in lower case are none."""
+    if not _utf8_any().search(run):
+        return run
+    out = list(run)
+    for name, pattern in _utf8_patterns():
+        for m in pattern.finditer(run):
+            try:
+                new = encode(m.group(), name).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if not (m.group().isalpha() and m.group().islower()) and all(c in chars or "\u00a0" <= c <= "\u017f" or c > "\U0001f000" for c in new):
+                out[m.start() : m.end()] = "\0" * len(m.group())
+    return "".join(out)
+
+
 @lru_cache(maxsize=100_000)
 def kind_of(c: str) -> str:
     """Script and category of a character, roughly: what it may stand beside."""
@@ -133,11 +158,13 @@ class GarblingCost:
 
     def __init__(self, texts: int, pairs: dict[str, int], kinds: dict[tuple[str, str], int], singles: dict[str, int]):
         self.texts, self.pairs, self.kinds, self.singles = texts + 1, pairs, kinds, singles
+        # of few texts, the judged one and FEW of its like are a large share
+        self.rare = min(RARE, math.log(self.texts / FEW))
         self.of_kind: dict[str, int] = {}
         for c, n in singles.items():
             self.of_kind[kind_of(c)] = self.of_kind.get(kind_of(c), 0) + n
         self.costs: dict[str, float] = {}
-        self.common: set[str] = set()
+        self.common: set[tuple[str, str, str]] = set()
         self.utf8_memo: dict[tuple, list] = {}
         self.single_memo: dict[tuple, list] = {}
 
@@ -170,17 +197,33 @@ class GarblingCost:
         """A Latin letter that many texts have: one rare place of it is no trace."""
         return kind_of(c).startswith("LATIN") and self.singles.get(c, 0) > 0.02 * self.texts
 
+    def odd(self, left: str, run: str, right: str) -> bool:
+        """Whether the run has rare neighbours or, however common, is UTF-8 read as something else."""
+        return self.worst(left + run + right) >= self.rare or (_utf8_any().search(run) is not None and bool(self.utf8_options(left, run, right)))
+
     def odd_runs(self, text: str) -> list[tuple[int, int]]:
-        """Runs of non-ASCII characters with rare neighbours."""
-        # most texts have common neighbours only: words and gaps seen before need no other look
-        rest = {*_IN_PLACE.findall(text), *_BETWEEN.findall(text)} - self.common
-        usual = {p for p in rest if self.worst(p) < RARE}
+        """Runs of non-ASCII characters that a wrong reading may have left."""
+        # most texts have common runs only: those seen before need no other look
+        rest = {*_IN_PLACE.findall(text)} - self.common
+        odd = {p for p in rest if self.odd(*p)}
         if len(self.common) > 300_000:
             self.common.clear()
-        self.common |= usual
-        if len(usual) == len(rest):
+        self.common |= rest - odd
+        if not odd:
             return []
-        return [m.span() for m in _RUN.finditer(text) if self.worst(text[max(m.start() - 1, 0) : m.end() + 1]) >= RARE]
+        return [m.span(2) for m in _IN_PLACE.finditer(text) if m.groups() in odd]
+
+    def _settled(self, before: str, text: str, after: str, layers: int = LAYERS - 1) -> float:
+        """Cost of the text in its place, after further layers of UTF-8 are undone."""
+        cost = self.of(before + text + after)
+        for name, pattern in _utf8_patterns() if layers and _utf8_any().search(text) else ():
+            try:
+                new = pattern.sub(lambda m: encode(m.group(), name).decode("utf-8"), text)
+            except UnicodeDecodeError:
+                continue
+            if new != text and self.known(new):
+                cost = min(cost, self._settled(before, new, after, layers - 1))
+        return cost
 
     def utf8_options(self, left: str, run: str, right: str) -> list[tuple[str, float, list]]:
         """(read as, gain, repaired spans of the run) for UTF-8 read as something else, also
@@ -201,7 +244,7 @@ class GarblingCost:
                         if variant != run and run[a:b].islower():
                             new = new.lower()
                         before, after = (run[:a] or left)[-1:], (run[b:] or right)[:1]
-                        g = self.of(before + run[a:b] + after) - self.of(before + new + after)
+                        g = self.of(before + run[a:b] + after) - self._settled(before, new, after)
                         if self.known(new) and g > (LEAST if variant == run else ALONE):
                             spans.append((a, b, new))
                             gain += g
@@ -376,25 +419,76 @@ def _cited(text: str, a: int, b: int, new: str) -> bool:
     return all(c in new or c in "“”‘’–—«»" for c in rest if c > "\x7f")
 
 
-def _fit(texts: list[str]) -> GarblingCost:
+def _count(texts, chars: set[str]) -> Counter:
+    """How many texts there are, and how many have each character, pair and pair of kinds, by
+    (what, key), but for what UTF-8 read as something else may have left."""
     pairs: Counter = Counter()
     kinds: Counter = Counter()
     singles: Counter = Counter()
+    n, memo = 0, {}
+
+    def unsuspected(m: re.Match) -> str:
+        if (run := m.group()) not in memo:
+            memo[run] = _unsuspected(run, chars)
+        return memo[run]
+
     for t in texts:
-        mine = set(map("".join, zip(t, t[1:])))
+        t = _RUN.sub(unsuspected, t)
+        mine = set(zip(t, t[1:]))
         pairs.update(mine)
         kinds.update({(kind_of(a), kind_of(b)) for a, b in mine})
         singles.update(set(t))
-    return GarblingCost(len(texts), pairs, kinds, singles)
+        n += 1
+    found = Counter({("texts", ""): n}) if n else Counter()
+    found.update({("pair", a + b): k for (a, b), k in pairs.items() if "\0" not in (a, b)})
+    found.update({("kinds", f"{a}\0{b}"): k for (a, b), k in kinds.items() if "\0" not in (a, b)})
+    found.update({("single", c): k for c, k in singles.items() if c != "\0"})
+    return found
+
+
+def _cost_of(counted: dict[tuple[str, str], tuple[int, float]]) -> GarblingCost:
+    """The model of (texts, their weight) by (what, key)."""
+    of = {what: {k: (n, weight) for (w, k), (n, weight) in counted.items() if w == what and n > 0} for what in ("texts", "pair", "kinds", "single")}
+    return GarblingCost(
+        sum(weight for _, weight in of["texts"].values()),
+        {k: weight for k, (_, weight) in of["pair"].items()},
+        {tuple(k.split("\0")): weight for k, (_, weight) in of["kinds"].items()},
+        {k: weight for k, (_, weight) in of["single"].items()},
+    )
+
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> GarblingCost:
+    """Fit on all distinct texts, whole. The tables that are collected are as large as the
+    alphabet in use lets them be."""
+    rows = df.where(f"length({text_col}) > 0").select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
+
+    def letters(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            seen.update(*batch["text"])
+        yield pd.DataFrame({"c": sorted(seen)})
+
+    chars = {r.c for r in rows.select("text").mapInPandas(letters, "c string").distinct().collect()}
+    texts = cut_lineage(rows.distinct())
+    weights = {r.lang: min(1.0, WEIGHT / r["count"]) for r in texts.groupBy("lang").count().collect()}
+
+    def counts(model: GarblingCost | None) -> dict:
+        def run(batches):
+            found: dict[str, Counter] = {}
+            for batch in batches:
+                for lang, group in batch.groupby("lang"):
+                    some = group["text"] if model is None else [t for t in group["text"] if not t.isascii() and model.repair(t)[0]]
+                    found.setdefault(lang, Counter()).update(_count(some, chars))
+            for lang, counted in found.items():
+                yield pd.DataFrame([(*key, n, n * weights[lang]) for key, n in counted.items()], columns=["what", "key", "n", "weight"])
 
+        kept = texts.mapInPandas(run, "what string, key string, n bigint, weight double").groupBy("what", "key").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+        return {(r.what, r.key): (r.n, r.weight) for r in kept.collect()}
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> GarblingCost:
-    """Fit on at most ``sample`` texts of each language, the beginnings of texts chosen by hash."""
-    rows = df.where(f"length({text_col}) > 0").select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).distinct()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    texts = [r.text for r in rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample).select("text").collect()]
-    model = _fit(texts)
-    return _fit([t for t in texts if not model.repair(t)[0]])
+    every = counts(None)
+    for key, (n, weight) in counts(_cost_of(every)).items():
+        every[key] = every[key][0] - n, every[key][1] - weight
+    return _cost_of(every)
 
 
 def find_garbled(df: DataFrame, cost: GarblingCost, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,7 +503,7 @@ def find_garbled(df: DataFrame, cost: GarblingCost, id_col: str = "doc_id", text
         for batch in batches:
             found = [cost.repair(t) for t in batch["text"]]
             keep = [f for f, _ in found]
-            yield pd.DataFrame({"id": batch["id"][keep], "text": [t for f, t in found if f]})
+            yield pd.DataFrame({"id": batch["id"][keep], "text": pd.Series([t for f, t in found if f], batch.index[keep], object)})
 
     rows = df.where(F.col(text_col).rlike(r"[^\x00-\x7f]")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

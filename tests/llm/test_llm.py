@@ -250,3 +250,16 @@ def test_repair_of_wrong_readings(spark):
     found = sorted((r.doc_id or 0, r.text) for r in garbled.find_garbled(rows, cost).collect())
     assert found == [(0, "Universit�t"), (1, clean["de"]), (1, clean["de"])]
     assert garbled.find_garbled(rows.where("false"), cost).count() == 0
+
+
+def test_common_garblings_are_found(spark):
+    words = "Straße Höhle Mühle Brücke König Gemälde Fähre Küste".split()
+    sound = [f"Die {a} und die {b} von Ort {chr(97 + i)}{chr(97 + j)}." for i, a in enumerate(words) for j, b in enumerate(words)]
+    wrong = [t.replace("Ort", "Dorf").encode().decode("cp1252") for t in sound if "ß" in t][:8]
+    for some in (sound[:30], sound):
+        # a fifth of the texts have the same garbling, so that its neighbours are not rare
+        rows = [(i, t, "de") for i, t in enumerate(some + wrong)]
+        docs = frame(spark, rows, "doc_id bigint, text string, lang string")
+        cost = garbled.fit(docs)
+        assert {r.doc_id for r in garbled.find_garbled(docs, cost).collect()} == set(range(len(some), len(rows)))
+        assert cost.repair(wrong[0]) == (True, wrong[0].encode("cp1252").decode())
