@@ -172,6 +172,8 @@ class GarblingCost:
         return self.__dict__ | {"costs": {}, "common": set(), "utf8_memo": {}, "single_memo": {}}
 
     def _cost(self, pair: str) -> float:
+        if pair.isascii():
+            return 0.0
         a, b = pair
         ka, kb = kind_of(a), kind_of(b)
         apart = self.kinds.get((ka, kb), 0) * self.singles.get(a, 0) / self.of_kind.get(ka, 1) * self.singles.get(b, 0) / self.of_kind.get(kb, 1)
@@ -366,9 +368,12 @@ class GarblingCost:
             return text, False
         return _replace(text, repairs), True
 
-    def repair(self, text: str) -> tuple[bool, str]:
-        """Whether the text shows traces of a wrong reading, and what could be restored."""
+    def repair(self, text: str, whole: bool = True) -> tuple[bool, str]:
+        """Whether the text shows traces of a wrong reading, and what could be restored: unless
+        ``whole``, by the first layer at most."""
         found = bool(_CONTROL.search(text))
+        if found and not whole:
+            return found, text
         if text.startswith(_MARKS):
             found, text = True, text[next(len(m) for m in _MARKS if text.startswith(m)) :]
         for layer in range(LAYERS):
@@ -384,7 +389,7 @@ class GarblingCost:
             if not again:
                 text, again = self.dropped(text, runs)
             found |= again
-            if not again:
+            if not again or not whole:
                 break
         return found, text
 
@@ -421,28 +426,34 @@ def _cited(text: str, a: int, b: int, new: str) -> bool:
 
 def _count(texts, chars: set[str]) -> Counter:
     """How many texts there are, and how many have each character, pair and pair of kinds, by
-    (what, key), but for what UTF-8 read as something else may have left."""
+    (what, key), but for what UTF-8 read as something else may have left. Pairs of ASCII
+    characters, which no reading changes, are not counted."""
     pairs: Counter = Counter()
     kinds: Counter = Counter()
     singles: Counter = Counter()
     n, memo = 0, {}
-
-    def unsuspected(m: re.Match) -> str:
-        if (run := m.group()) not in memo:
-            memo[run] = _unsuspected(run, chars)
-        return memo[run]
-
     for t in texts:
-        t = _RUN.sub(unsuspected, t)
-        mine = set(zip(t, t[1:]))
-        pairs.update(mine)
-        kinds.update({(kind_of(a), kind_of(b)) for a, b in mine})
-        singles.update(set(t))
         n += 1
+        mine, like, letters = set(), set(), {c for c in set(t) if c < "\x80"}
+        for place in set(_IN_PLACE.findall(t)):
+            if place not in memo:
+                if len(memo) > 100_000:
+                    memo.clear()
+                left, run, right = place
+                run = _unsuspected(run, chars)
+                whole = left + run + right
+                these = {a + b for a, b in zip(whole, whole[1:]) if a != "\0" != b}
+                memo[place] = these, {f"{kind_of(a)}\0{kind_of(b)}" for a, b in these}, {*run} - {"\0"}
+            a, b, c = memo[place]
+            mine |= a
+            like |= b
+            letters |= c
+        pairs.update(mine)
+        kinds.update(like)
+        singles.update(letters - {"\0"})
     found = Counter({("texts", ""): n}) if n else Counter()
-    found.update({("pair", a + b): k for (a, b), k in pairs.items() if "\0" not in (a, b)})
-    found.update({("kinds", f"{a}\0{b}"): k for (a, b), k in kinds.items() if "\0" not in (a, b)})
-    found.update({("single", c): k for c, k in singles.items() if c != "\0"})
+    for what, counted in (("pair", pairs), ("kinds", kinds), ("single", singles)):
+        found.update({(what, k): times for k, times in counted.items()})
     return found
 
 
@@ -477,7 +488,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Garbli
             found: dict[str, Counter] = {}
             for batch in batches:
                 for lang, group in batch.groupby("lang"):
-                    some = group["text"] if model is None else [t for t in group["text"] if not t.isascii() and model.repair(t)[0]]
+                    some = group["text"] if model is None else [t for t in group["text"] if not t.isascii() and model.repair(t, whole=False)[0]]
                     found.setdefault(lang, Counter()).update(_count(some, chars))
             for lang, counted in found.items():
                 yield pd.DataFrame([(*key, n, n * weights[lang]) for key, n in counted.items()], columns=["what", "key", "n", "weight"])

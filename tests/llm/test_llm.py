@@ -263,3 +263,10 @@ def test_common_garblings_are_found(spark):
         cost = garbled.fit(docs)
         assert {r.doc_id for r in garbled.find_garbled(docs, cost).collect()} == set(range(len(some), len(rows)))
         assert cost.repair(wrong[0]) == (True, wrong[0].encode("cp1252").decode())
+
+
+def test_cost_is_counted_over_whole_texts(spark):
+    rows = [(i, "The mill stands. " * 100 + f"It is in Žďár, No. {i}.", "en") for i in range(1200)]
+    cost = garbled.fit(frame(spark, rows, "doc_id bigint, text string, lang string"))
+    assert cost.singles["ď"] == pytest.approx(garbled.WEIGHT) and cost.pairs["Žď"] == pytest.approx(garbled.WEIGHT)
+    assert cost.texts == pytest.approx(garbled.WEIGHT + 1)
