@@ -297,10 +297,11 @@ class GarblingCost:
         return any(_cited(text, a + x, a + y, new) for _, _, spans in options for x, y, new in spans)
 
     def best_layer(self, text: str, runs: list[tuple[int, int]]) -> tuple[str, bool]:
-        """The reading that brings most. Where UTF-8 explains half of the odd runs, single-byte
+        """The reading that brings most. Where UTF-8 explains all odd runs completely, single-byte
         encodings need not be tried."""
         gain, repairs = self._best(text, runs, self.utf8_options)
-        if 2 * len(repairs) >= len(runs):
+        explained = {i for _, a, b, _ in repairs for i in range(a, b)}
+        if repairs and all(i in explained for a, b in runs for i in range(a, b)):
             return _replace(text, repairs), True
         other, more = self.single_byte(text, runs)
         if more > gain:

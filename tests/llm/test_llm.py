@@ -270,3 +270,16 @@ def test_cost_is_counted_over_whole_texts(spark):
     cost = garbled.fit(frame(spark, rows, "doc_id bigint, text string, lang string"))
     assert cost.singles["ď"] == pytest.approx(garbled.WEIGHT) and cost.pairs["Žď"] == pytest.approx(garbled.WEIGHT)
     assert cost.texts == pytest.approx(garbled.WEIGHT + 1)
+
+
+def test_single_bytes_are_tried_unless_utf8_explains_all(spark):
+    cost = garbled.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    tried = []
+    cost.single_byte = lambda text, runs: tried.append(runs) or ("other", 1e6)
+    text = "GrÃ¼Ã¼Ìîe"
+    # one run, two spans of it explained, the rest not
+    runs = [(2, 8)]
+    assert cost.utf8(text, runs)[1] > 0
+    assert cost.best_layer(text, runs) == ("other", True) and tried
+    tried.clear()
+    assert cost.best_layer("GrÃ¼nde", [(2, 4)]) == ("Gründe", True) and not tried
