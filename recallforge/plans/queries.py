@@ -597,8 +597,7 @@ h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p_val
 c AS (SELECT observed, max(step) OVER (ORDER BY p_value, a, b ROWS UNBOUNDED PRECEDING) AS p_holm FROM h) SELECT count(*) AS compared, count(*) FILTER (observed > 0 AND p_holm < 0.05) AS helped FROM c""")
 def headline_counts(spark, sf):
     daily = _daily(spark, sf)
-    tested = stats.randomisation_by_hash(stats.paired(daily, _family(spark, daily)), 99)
-    return report.headline(stats.holm(tested, "p_value", ["a", "b"]).withColumnRenamed("observed", "difference"))
+    return report.headline(stats.compare(daily, _family(spark, daily)))
 
 
 @query(f"""WITH {sql.DENSE}, f AS (SELECT r.question_id, min(rank) AS ra FROM ranking r JOIN qrels q ON r.question_id = q.question_id AND r.chunk_id = q.doc_id WHERE rank <= 10 GROUP BY 1),

@@ -10,7 +10,7 @@ from recallforge.functions import sentences, stem
 from recallforge.functions import text as tx
 from recallforge.operators import answers, chunking, corpus, models, page_build, report, retrieval, sampling, stats
 from recallforge.operators import evaluation as ev
-from recallforge.plans import config, grid
+from recallforge.plans import config, grid, queries
 from recallforge.sources import files
 from recallforge.streaming import caches
 
@@ -209,3 +209,18 @@ def test_models_are_asked_once(spark, tmp_path):
     assert {r.verdict for r in judged.collect()} == {"supported"}
     with pytest.raises(Exception, match="rubric"):
         models.judge_answers(written, lambda p: ["?"] * len(p), "j").collect()
+
+
+@pytest.fixture(scope="module")
+def improved(spark, tmp_path_factory):
+    """Retrieval rows in which each of 15 rerankers is better on every day."""
+    folder = tmp_path_factory.mktemp("improved")
+    rows = [(f"{s}{r}-{d}", f"s{s}{r}", f"2025-01-{d:02d}", 0.5 + 0.01 * (d % 3) + (0.1 if r else 0.0)) for s in range(15) for r in ("", "-rerank") for d in range(1, 21)]
+    spark.createDataFrame(rows, "run_id string, setup string, at string, passage_ndcg_at_10 double").select(
+        "run_id", "setup", F.to_timestamp("at").alias("run_at"), "passage_ndcg_at_10"
+    ).write.parquet(str(folder / "retrieval_rows.parquet"))
+    return str(folder)
+
+
+def test_headline_can_count_an_improvement(spark, improved):
+    assert tuple(queries.QUERIES["headline_counts"](spark, improved).first()) == (15, 15)
