@@ -379,7 +379,7 @@ def randomisation_holm(spark, sf):
 @query()
 def compare_setups(spark, sf):
     daily = _daily(spark, sf)
-    return stats.compare(daily, _family(spark, daily), trials=2_000)
+    return stats.compare(daily, _family(spark, daily))
 
 
 def _raters(spark, sf):

@@ -224,3 +224,8 @@ def improved(spark, tmp_path_factory):
 
 def test_headline_can_count_an_improvement(spark, improved):
     assert tuple(queries.QUERIES["headline_counts"](spark, improved).first()) == (15, 15)
+
+
+def test_setups_are_compared_by_all_trials(spark, improved):
+    found = queries.QUERIES["compare_setups"](spark, improved).collect()
+    assert len(found) == 15 and all(r.p_value < 1 / 2_001 for r in found)
