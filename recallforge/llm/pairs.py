@@ -251,7 +251,7 @@ def defect_of(prompt: str | None, response: str | None, model: LanguageModel, te
     bare = _CITATION.sub(" ", response)
     asked = tokens(prompt)
     sentences = [s for s in (tokens(x) for x in _SENTENCE.split(bare)) if s]
-    if sentences and len(sentences) <= 4:
+    if sentences:
         known = set(asked)
         whole = [w for s in sentences for w in s]
         refused = [templates.refuses(s, known) for s in sentences]

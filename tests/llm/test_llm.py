@@ -157,6 +157,14 @@ def test_defects(model):
     assert pairs.defect_of(None, "Kin Vel.", model, templates) is None
 
 
+def test_long_refusals(model):
+    templates = pairs.RefusalTemplates()
+    q = "Who founded Ostra Mill?"
+    refusal = "I am sorry. Unfortunately, I don't know. I do not have access to this information. I cannot determine this from the text given. I don't know the answer. Apologies."
+    assert pairs.defect_of(q, refusal, model, templates) == "refusal"
+    assert pairs.defect_of(q, refusal + " Ostra Mill was founded by Kin Vel.", model, templates) is None
+
+
 def test_find_defects_keeps_rows(spark, model):
     df = frame(spark, [(1, None, None, 1), (1, None, None, 1), (None, "Who?", "I don't know", 1), (3, "Who?", "Kin Vel", 1)], "answer_id bigint, question string, text string, defect int")
     assert sorted((r.answer_id or 0, r.defect) for r in pairs.find_defects(df, model).collect()) == [(0, "refusal"), (1, "empty"), (1, "empty")]
