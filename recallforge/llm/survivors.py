@@ -21,8 +21,9 @@ ROUNDS = 60
 #: Reports of damage, how often a sound text has one, and the weight of that prior.
 DAMAGE = {"elsewhere": "true", "says": "false", "markup": "true", "tail": "true", "extended": "true"}
 RARELY, STRENGTH = 0.00001, 50
-#: Complete paragraphs that two words must end to be a usual end.
-USUAL = 3
+#: Two words are a usual end if they end complete paragraphs in this share of their places, those
+#: within sentences of complete paragraphs and SELDOM more that may be to come being the others.
+USUAL, SELDOM = 0.5, 3
 WITNESSES = ["feed", "blocks", "elsewhere", "says", "markup", "own", "tail", "extended", "ending"]
 
 # Unicode white space, characters without width, ends of sentences, marks that
@@ -67,6 +68,24 @@ def _final(paragraph: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.right(paragraph, F.lit(80)), r"([^\s]+ [^\s\p{P}]+)[\p{P}\s]*$", 1), r"\d+([.,]\d+)*", "0")
 
 
+def _within(paragraph: Column) -> Column:
+    """Every two words that stand within a sentence, like ``_final``: not those before its end."""
+    words = F.split(paragraph, " ")
+    # the last has no next word: null; a word with marks inside is no end in ``_final`` either
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    inside = F.filter(pairs, lambda p: p.isNotNull() & ~p.rlike(_COMPLETE))
+    found = F.transform(inside, lambda p: F.regexp_replace(F.regexp_extract(p, r"^([^\s]+ [^\s\p{P}]+)\p{P}*$", 1), r"\d+([.,]\d+)*", "0"))
+    return F.filter(found, lambda p: p != "")
+
+
+def usual_ends(complete: DataFrame) -> DataFrame:
+    """(final, usual) of the two words that usually end a paragraph (``last``)."""
+    ends = complete.groupBy(_final(F.col("last")).alias("final")).agg(F.count("*").alias("ends")).where((F.col("final") != "") & (F.col("ends") >= SELDOM))
+    within = complete.select(F.explode(_within(F.col("last"))).alias("final")).groupBy("final").agg(F.count("*").alias("within"))
+    counted = ends.join(within, "final", "left").withColumn("within", F.coalesce("within", F.lit(0)))
+    return counted.where(F.col("ends") >= USUAL * (F.col("ends") + F.col("within") + SELDOM)).select("final", F.lit(True).alias("usual"))
+
+
 def reports(rows: DataFrame) -> DataFrame:
     """(record_id, key, captured_at, WITNESSES) of each row of ``keyed``.
 
@@ -108,7 +127,7 @@ def reports(rows: DataFrame) -> DataFrame:
     goes_on = F.coalesce(F.startswith("next", "last") & (F.length(F.regexp_replace(F.expr("substring(next, length(last) + 1)"), r"[\p{P}\s]", "")) >= 1), F.lit(False))
     endings = texts.withColumn("next", after).select("key", "last", goes_on.cast("string").alias("extended"))
     complete = endings.where(F.col("last").rlike(_COMPLETE) & ~F.col("last").rlike(_CONTINUED) & (F.col("extended") == "false"))
-    finals = complete.groupBy(_final(F.col("last")).alias("final")).count().where((F.col("count") >= USUAL) & (F.col("final") != "")).select("final", F.lit(True).alias("usual"))
+    finals = usual_ends(complete)
     seen = (
         there.join(finals, "final", "left")
         .withColumn("ending", F.when((F.col("ending") == "open") & F.col("usual") & (F.col("tail") == "false"), "stop").otherwise(F.col("ending")))

@@ -204,6 +204,16 @@ def test_survivors(spark):
     assert survivors.survivors(df.where("false")).count() == 0
 
 
+def test_usual_ends_are_a_rate(spark):
+    within = [f"Near the mill, town {chr(97 + i)} has a harbour." for i in range(20)]
+    ends = [f"Town {chr(97 + i)} is by the mill." for i in range(4)] + [f"Town {chr(97 + i)} has an old bridge." for i in range(6)]
+    cut = ["Town z is by the mill", "Town z has an old bridge"]
+    rows = [(i, f"page-{i}", t, None, "crawl", None, None) for i, t in enumerate(within + ends + cut)]
+    df = frame(spark, rows, f"record_id bigint, page_id string, text string, blocks {BLOCKS}, feed string, captured_at timestamp_ntz, url string")
+    found = {r.record_id: r.ending for r in survivors.reports(survivors.keyed(df)).collect()}
+    assert [found[30], found[31]] == ["open", "stop"]
+
+
 # 5
 
 
