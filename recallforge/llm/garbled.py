@@ -15,9 +15,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +34,11 @@ RARE, FEW = 8.0, 3
 #: Drop of the cost that one repair must bring, and all repairs of a text by one pair of
 #: encodings; a single repaired run must bring more.
 LEAST, TOGETHER, ALONE = 2.0, 9.0, 6.0
-#: Extra cost of neighbours that are common in another case only.
-OTHER_CASE = 2.0
-#: Nested readings that are undone.
-LAYERS = 4
+#: Extra cost of neighbours that are common in another case only: of a capital after a small
+#: letter, and of a small letter after a capital.
+CAPITAL_AFTER, CAPITAL_BEFORE = 2.0, 1.0
+#: Characters of text that are scanned at once; entries of each memo, and characters of their keys.
+SCAN, MEMO, MEMO_KEY = 1 << 20, 100_000, 64
 
 # Encodings that texts are read in by mistake, and those they are written in.
 READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp1253", "iso8859-7", "cp1254", "iso8859-15", "cp775", "cp852"]
@@ -43,12 +46,13 @@ WRITTEN_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "c
 MULTIBYTE = ["cp932", "euc_jp"]
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_IN_PLACE = re.compile(r"([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f�]")
 # Characters that stand by themselves in running text.
 _LONE = set("–—°àÀéÉêèáíÁ“”‘’€")
 # Punctuation beyond ASCII.
 _MARKING = set("¿¡“”‘’„«»‹›–—…·")
+# What the commonest reading has for the bytes 80 to 9f; nested readings pass by it.
+_BETWEEN = set("€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ")
 # Byte order marks read as text.
 _MARKS = ("ÿþ", "þÿ", "ï»¿")
 _SENTENCE_END = re.compile(r"[.!?。…]\s|\n")
@@ -117,18 +121,106 @@ def _utf8_patterns() -> list[tuple[str, re.Pattern]]:
 
 
 @lru_cache(maxsize=1)
-def _utf8_any() -> re.Pattern:
-    return re.compile("|".join(pattern.pattern for _, pattern in _utf8_patterns()))
+def _bits() -> tuple[dict[str, int], dict[str, int]]:
+    """Encodings, as bits in the order of READ_AS, in which a character is the first byte of a UTF-8
+    sequence, and in which it is a later one."""
+    first: dict[str, int] = {}
+    later: dict[str, int] = {}
+    for i, name in enumerate(READ_AS):
+        for c, b in _table(name).items():
+            if 0xC2 <= b <= 0xF4:
+                first[c] = first.get(c, 0) | 1 << i
+            elif 0x80 <= b <= 0xBF:
+                later[c] = later.get(c, 0) | 1 << i
+    return first, later
+
+
+def _may_be_utf8(run: str) -> int:
+    """Encodings, as bits, in which the run may hold UTF-8 read as something else."""
+    first, later = _bits()
+    found = 0
+    for a, b in zip(run, run[1:]):
+        if a in first:
+            found |= first[a] & later.get(b, 0)
+    return found
+
+
+@lru_cache(maxsize=1)
+def _bit_tables() -> tuple[np.ndarray, np.ndarray]:
+    """``_bits`` by code point, the last entry for all beyond."""
+    out = []
+    for bits in _bits():
+        table = np.zeros(0x10001, np.uint16)
+        for c, x in bits.items():
+            table[ord(c)] = x
+        out.append(table)
+    return out[0], out[1]
+
+
+class Scan:
+    """Texts as one array of code points, each followed by a null, and their runs beyond ASCII."""
+
+    def __init__(self, texts: list[str]):
+        self.code = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
+        high = self.code > 127
+        edges = np.flatnonzero(np.diff(high, prepend=False, append=False))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.number = np.searchsorted(self.offsets, self.starts, "right") - 1
+        # neighbours, at least one beyond ASCII, of which neither parts two texts
+        at = np.flatnonzero(high[1:] | high[:-1])
+        parted = np.zeros(len(self.code), bool)
+        parted[self.offsets[1:] - 1] = True
+        self.at = at[~(parted[at] | parted[at + 1])]
+        self.keys = self.code[self.at].astype(np.uint64) << np.uint64(32) | self.code[self.at + 1]
+
+    def any_in_runs(self, flags: np.ndarray) -> np.ndarray:
+        """Of each run whether a flag of ``at`` lies in it or at its edges."""
+        total = np.concatenate(([0], np.cumsum(flags)))
+        low, high = np.searchsorted(self.at, self.starts - 1), np.searchsorted(self.at, self.ends)
+        return total[high] > total[low]
+
+    def utf8(self) -> np.ndarray:
+        """Neighbours that may begin a UTF-8 sequence in some encoding."""
+        first, later = _bit_tables()
+        code = np.minimum(self.code, 0x10000)
+        return (first[code[self.at]] & later[code[self.at + 1]]) != 0
+
+
+def scans(texts: list[str]):
+    """(number of the first text, Scan) of as many texts at once as have ``SCAN`` characters."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > SCAN:
+            yield first, Scan(texts[first:i])
+            first, size = i, 0
+        size += len(t) + 1
+    if texts:
+        yield first, Scan(texts[first:])
+
+
+class Memo(dict):
+    """Results by key; emptied when it is full, and without long keys, so that it stays bounded."""
+
+    def of(self, key: tuple, make):
+        found = self.get(key)
+        if found is None:
+            found = make(*key)
+            if sum(map(len, key)) <= MEMO_KEY:
+                if len(self) >= MEMO:
+                    self.clear()
+                self[key] = found
+        return found
 
 
 def _unsuspected(run: str, chars: set[str]) -> str:
     """The run with nulls for what UTF-8 of known ``chars`` read as something else may have left;
     words in lower case are none."""
-    if not _utf8_any().search(run):
-        return run
+    may = _may_be_utf8(run)
     out = list(run)
-    for name, pattern in _utf8_patterns():
-        for m in pattern.finditer(run):
+    for i, (name, pattern) in enumerate(_utf8_patterns()):
+        for m in pattern.finditer(run) if may >> i & 1 else ():
             try:
                 new = encode(m.group(), name).decode("utf-8")
             except UnicodeDecodeError:
@@ -152,8 +244,8 @@ def kind_of(c: str) -> str:
 class GarblingCost:
     """Cost of neighbouring characters: minus the log of the share of texts that have them.
 
-    Unseen neighbours cost what the same letters do in another case, and more, or what their
-    kinds and their own shares tell, whichever is less.
+    Unseen neighbours cost what the same letters do in another case, more where cases
+    meet, or what their kinds and their own shares tell, whichever is less.
     """
 
     def __init__(self, texts: int, pairs: dict[str, int], kinds: dict[tuple[str, str], int], singles: dict[str, int]):
@@ -164,12 +256,10 @@ class GarblingCost:
         for c, n in singles.items():
             self.of_kind[kind_of(c)] = self.of_kind.get(kind_of(c), 0) + n
         self.costs: dict[str, float] = {}
-        self.common: set[tuple[str, str, str]] = set()
-        self.utf8_memo: dict[tuple, list] = {}
-        self.single_memo: dict[tuple, list] = {}
+        self.utf8_memo, self.single_memo = Memo(), Memo()
 
     def __getstate__(self):
-        return self.__dict__ | {"costs": {}, "common": set(), "utf8_memo": {}, "single_memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "tables"} | {"costs": {}, "utf8_memo": Memo(), "single_memo": Memo()}
 
     def _cost(self, pair: str) -> float:
         if pair.isascii():
@@ -180,10 +270,46 @@ class GarblingCost:
         least = max(self.pairs.get(pair, 0), apart)
         cost = -math.log((least + 0.02) / self.texts)
         if (folded := pair.lower()) != pair and len(folded) == 2:
-            cost = min(cost, self.costs.get(folded) or self._cost(folded) + OTHER_CASE)
+            cost = min(cost, (self.costs.get(folded) or self._cost(folded)) + (CAPITAL_AFTER if a.islower() and b.isupper() else CAPITAL_BEFORE if a.isupper() and b.islower() else 0.0))
+        if len(self.costs) >= MEMO:
+            self.costs.clear()
         self.costs[pair] = cost
         return cost
 
+    @cached_property
+    def tables(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Number of each character of ASCII and the single-byte encodings; what each pair of
+        encodings makes of it; costs of all their neighbours."""
+        chars = {chr(i) for i in range(128)}
+        for _, _, moves in _pairs():
+            chars |= {*map(chr, moves), *moves.values()}
+        chars |= {c.lower() for c in chars if len(c.lower()) == 1}
+        letters = sorted(chars)
+        number = {c: i for i, c in enumerate(letters)}
+        made = np.array([[number[moves.get(ord(c), c)] for c in letters] for _, _, moves in _pairs()], np.int32)
+        kinds = sorted({kind_of(c) for c in letters})
+        kind = {k: i for i, k in enumerate(kinds)}
+        of = np.array([kind[kind_of(c)] for c in letters])
+        share = np.array([self.singles.get(c, 0) / self.of_kind.get(kind_of(c), 1) for c in letters])
+        least = np.zeros((len(kinds), len(kinds)))
+        for (a, b), n in self.kinds.items():
+            if a in kind and b in kind:
+                least[kind[a], kind[b]] = n
+        least = least[of[:, None], of[None]] * share[:, None] * share[None]
+        for pair, n in self.pairs.items():
+            if pair[0] in number and pair[1] in number:
+                at = number[pair[0]], number[pair[1]]
+                least[at] = max(least[at], n)
+        cost = -np.log((least + 0.02) / self.texts)
+        cost[:128, :128] = 0.0
+        lower = np.array([number[c.lower()] if len(c.lower()) == 1 else i for i, c in enumerate(letters)])
+        cased = lower != np.arange(len(letters))
+        small, capital = (np.array([f(c) for c in letters]) for f in (str.islower, str.isupper))
+        folded = cost[lower[:, None], lower[None]] + CAPITAL_AFTER * (small[:, None] & capital[None]) + CAPITAL_BEFORE * (capital[:, None] & small[None])
+        cost = np.where(cased[:, None] | cased[None], np.minimum(cost, folded), cost)
+        cost[:128, :128] = 0.0
+        return number, made, cost
+
     def of(self, text: str) -> float:
         costs = self.costs
         return sum(costs.get(p) or self._cost(p) for p in map("".join, zip(text, text[1:])))
@@ -193,90 +319,110 @@ class GarblingCost:
         return max((costs.get(p) or self._cost(p) for p in map("".join, zip(text, text[1:]))), default=0.0)
 
     def known(self, text: str) -> bool:
-        return all(c in self.singles or c.lower() in self.singles or "\u00a0" <= c <= "\u024f" or c > "\U0001f000" for c in text)
+        return all(c in self.singles or c.lower() in self.singles or "\x80" <= c <= "\u024f" or c in _BETWEEN or c > "\U0001f000" for c in text)
 
     def usual(self, c: str) -> bool:
         """A Latin letter that many texts have: one rare place of it is no trace."""
         return kind_of(c).startswith("LATIN") and self.singles.get(c, 0) > 0.02 * self.texts
 
-    def odd(self, left: str, run: str, right: str) -> bool:
-        """Whether the run has rare neighbours or, however common, is UTF-8 read as something else."""
-        return self.worst(left + run + right) >= self.rare or (_utf8_any().search(run) is not None and bool(self.utf8_options(left, run, right)))
+    def screen(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Of each text the runs that a wrong reading may have left: those with rare neighbours and
+        those that, however common, are UTF-8 read as something else."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for first, scan in scans(texts):
+            known, where = np.unique(scan.keys, return_inverse=True)
+            pairs = (chr(k >> 32) + chr(k & 0xFFFFFFFF) for k in known.tolist())
+            costs = np.fromiter((self.costs.get(p) or self._cost(p) for p in pairs), float, len(known))
+            rare = scan.any_in_runs(costs[where] >= self.rare)
+            some = np.flatnonzero(rare | scan.any_in_runs(scan.utf8()))
+            for i, a, b, sure in zip((scan.number[some] + first).tolist(), scan.starts[some].tolist(), scan.ends[some].tolist(), rare[some].tolist()):
+                text, base = texts[i], int(scan.offsets[i - first])
+                a, b = a - base, b - base
+                if sure or self.utf8_options(text[max(a - 1, 0) : a], text[a:b], text[b : b + 1]):
+                    out[i].append((a, b))
+        return out
 
     def odd_runs(self, text: str) -> list[tuple[int, int]]:
-        """Runs of non-ASCII characters that a wrong reading may have left."""
-        # most texts have common runs only: those seen before need no other look
-        rest = {*_IN_PLACE.findall(text)} - self.common
-        odd = {p for p in rest if self.odd(*p)}
-        if len(self.common) > 300_000:
-            self.common.clear()
-        self.common |= rest - odd
-        if not odd:
-            return []
-        return [m.span(2) for m in _IN_PLACE.finditer(text) if m.groups() in odd]
-
-    def _settled(self, before: str, text: str, after: str, layers: int = LAYERS - 1) -> float:
-        """Cost of the text in its place, after further layers of UTF-8 are undone."""
-        cost = self.of(before + text + after)
-        for name, pattern in _utf8_patterns() if layers and _utf8_any().search(text) else ():
-            try:
-                new = pattern.sub(lambda m: encode(m.group(), name).decode("utf-8"), text)
-            except UnicodeDecodeError:
-                continue
-            if new != text and self.known(new):
-                cost = min(cost, self._settled(before, new, after, layers - 1))
+        return self.screen([text])[0]
+
+    def _settled(self, before: str, text: str, after: str) -> float:
+        """Cost of the text in its place, after all further layers of UTF-8 are undone. A layer
+        makes the text shorter, so there is an end."""
+        cost, tried = self.of(before + text + after), set()
+        may = _may_be_utf8(text)
+        for i, (name, pattern) in enumerate(_utf8_patterns()) if may else ():
+            if may >> i & 1:
+                try:
+                    new = pattern.sub(lambda m, name=name: encode(m.group(), name).decode("utf-8"), text)
+                except UnicodeDecodeError:
+                    continue
+                if new != text and new not in tried and self.known(new):
+                    tried.add(new)
+                    cost = min(cost, self._settled(before, new, after))
         return cost
 
     def utf8_options(self, left: str, run: str, right: str) -> list[tuple[str, float, list]]:
         """(read as, gain, repaired spans of the run) for UTF-8 read as something else, also
         where letters changed their case afterwards."""
-        key = left, run, right
-        if key not in self.utf8_memo:
-            out = []
-            for name, pattern in _utf8_patterns():
-                best, most = [], 0.0
-                for variant in dict.fromkeys((run, run.upper(), run.lower())):
-                    spans, gain = [], 0.0
-                    for m in pattern.finditer(variant) if len(variant) == len(run) else ():
-                        a, b = m.span()
-                        try:
-                            new = encode(m.group(), name).decode("utf-8")
-                        except UnicodeDecodeError:
-                            continue
-                        if variant != run and run[a:b].islower():
-                            new = new.lower()
-                        before, after = (run[:a] or left)[-1:], (run[b:] or right)[:1]
-                        g = self.of(before + run[a:b] + after) - self._settled(before, new, after)
-                        if self.known(new) and g > (LEAST if variant == run else ALONE):
-                            spans.append((a, b, new))
-                            gain += g
-                    if gain > most:
-                        best, most = spans, gain
-                if best:
-                    out.append((name, most, best))
-            self.utf8_memo[key] = out
-        return self.utf8_memo[key]
+        return self.utf8_memo.of((left, run, right), self._utf8_options)
+
+    def _utf8_options(self, left: str, run: str, right: str) -> list[tuple[str, float, list]]:
+        variants = [(v, may) for v in dict.fromkeys((run, run.upper(), run.lower())) if len(v) == len(run) and (may := _may_be_utf8(v))]
+        out = []
+        for i, (name, pattern) in enumerate(_utf8_patterns()) if variants else ():
+            best, most = [], 0.0
+            for variant, may in variants:
+                spans, gain = [], 0.0
+                for m in pattern.finditer(variant) if may >> i & 1 else ():
+                    a, b = m.span()
+                    try:
+                        new = encode(m.group(), name).decode("utf-8")
+                    except UnicodeDecodeError:
+                        continue
+                    if variant != run and run[a:b].islower():
+                        new = new.lower()
+                    before, after = (run[:a] or left)[-1:], (run[b:] or right)[:1]
+                    g = self.of(before + run[a:b] + after) - self._settled(before, new, after)
+                    if self.known(new) and g > (LEAST if variant == run else ALONE):
+                        spans.append((a, b, new))
+                        gain += g
+                if gain > most:
+                    best, most = spans, gain
+            if best:
+                out.append((name, most, best))
+        return out
 
     def single_options(self, left: str, run: str, right: str) -> list[tuple[int, float, str]]:
         """(pair, gain, repaired) of the single-byte pairs that make the run common."""
-        key = left, run, right
-        if key not in self.single_memo:
-            before, out = self.of(left + run + right), []
-            for i, (_, _, moves) in enumerate(_pairs()):
-                new = run.translate(moves)
-                if new != run and "\uffff" not in new:
-                    gain = before - self.of(left + new + right)
-                    if gain > LEAST and self.worst(left + new + right) < RARE:
-                        out.append((i, gain, new))
-            self.single_memo[key] = out
-        return self.single_memo[key]
+        return self.single_memo.of((left, run, right), self._single_options)
+
+    def _single_options(self, left: str, run: str, right: str) -> list[tuple[int, float, str]]:
+        number, made, cost = self.tables
+        if not any(c in number for c in run):
+            return []
+        before, out = self.of(left + run + right), []
+        if all(c in number for c in run):
+            # all pairs of encodings at once
+            now = np.array([number[c] for c in run])
+            new = made[:, now]
+            edges = [np.full((len(new), 1), number[c]) if c else np.empty((len(new), 0), int) for c in (left, right)]
+            whole = np.hstack((edges[0], new, edges[1]))
+            costs = cost[whole[:, :-1], whole[:, 1:]] if whole.shape[1] > 1 else np.zeros((len(new), 1))
+            gain = before - costs.sum(axis=1)
+            for i in np.flatnonzero((gain > LEAST) & (costs.max(axis=1) < RARE) & (new != now).any(axis=1)).tolist():
+                out.append((i, float(gain[i]), run.translate(_pairs()[i][2])))
+            return out
+        for i, (_, _, moves) in enumerate(_pairs()):
+            new = run.translate(moves)
+            if new != run:
+                gain = before - self.of(left + new + right)
+                if gain > LEAST and self.worst(left + new + right) < RARE:
+                    out.append((i, gain, new))
+        return out
 
     def _best(self, text: str, runs: list[tuple[int, int]], options) -> tuple[float, list[tuple[float, int, int, str]]]:
         return self._best_reading(text, runs, options)[1:]
 
-    def _best_pair(self, text: str, runs: list[tuple[int, int]]) -> tuple[int, float, list]:
-        return self._best_reading(text, runs, self.single_options)
-
     def _best_reading(self, text: str, runs: list[tuple[int, int]], options) -> tuple:
         """The reading whose repairs bring most, over all runs: it, the sum and the repairs."""
         readings: dict = {}
@@ -318,7 +464,7 @@ class GarblingCost:
 
         Once a pair of encodings is sure, it holds for every run that it makes more common.
         """
-        pair, gain, repairs = self._best_pair(text, [r for r in runs if not _lone_symbol(text, *r)])
+        pair, gain, repairs = self._best_reading(text, [r for r in runs if not _lone_symbol(text, *r)], self.single_options)
         repairs = [r for r in repairs if not _stands_alone(text, r[1], r[2]) or r[3] in _LONE]
         # odd spaces and the marks of other languages are no trace by themselves
         gain = sum(r[0] for r in repairs if not all(c.isspace() or c in _MARKING for c in text[r[1] : r[2]]))
@@ -369,16 +515,21 @@ class GarblingCost:
             return text, False
         return _replace(text, repairs), True
 
-    def repair(self, text: str, whole: bool = True) -> tuple[bool, str]:
+    def repair(self, text: str, whole: bool = True, runs: list[tuple[int, int]] | None = None) -> tuple[bool, str]:
         """Whether the text shows traces of a wrong reading, and what could be restored: unless
-        ``whole``, by the first layer at most."""
+        ``whole``, by the first layer at most. ``runs`` are its odd runs where they are known.
+
+        Layers are undone until none is left that lowers the cost."""
         found = bool(_CONTROL.search(text))
         if found and not whole:
             return found, text
         if text.startswith(_MARKS):
-            found, text = True, text[next(len(m) for m in _MARKS if text.startswith(m)) :]
-        for layer in range(LAYERS):
-            runs = [r for r in self.odd_runs(text) if not self._mentions(text, *r)]
+            found, text, runs = True, text[next(len(m) for m in _MARKS if text.startswith(m)) :], None
+        seen: set[str] = set()
+        while text not in seen:
+            layer = len(seen)
+            seen.add(text)
+            runs = [r for r in (self.odd_runs(text) if runs is None else runs) if not self._mentions(text, *r)]
             if not runs and not (found and layer):
                 break
             text, again = self.multibyte(text)
@@ -390,10 +541,16 @@ class GarblingCost:
             if not again:
                 text, again = self.dropped(text, runs)
             found |= again
+            runs = None
             if not again or not whole:
                 break
         return found, text
 
+    def repair_all(self, texts: list[str], whole: bool = True) -> list[tuple[bool, str]]:
+        """``repair`` of each text. Most have no odd run and are done with after one scan of all."""
+        screened = self.screen(texts)
+        return [self.repair(t, whole, runs) if runs or _CONTROL.search(t) or t.startswith(_MARKS) else (False, t) for t, runs in zip(texts, screened, strict=True)]
+
 
 def _replace(text: str, repairs: list[tuple[float, int, int, str]]) -> str:
     out, at = [], 0
@@ -412,49 +569,67 @@ def _lone_symbol(text: str, a: int, b: int) -> bool:
     return _stands_alone(text, a, b) and not text[a].isalpha() and text.count(text[a]) == 1
 
 
+@lru_cache(maxsize=64)
+def _sentences(text: str) -> list[int]:
+    """Where the sentences of the text end."""
+    return [m.end() for m in _SENTENCE_END.finditer(text)]
+
+
 def _cited(text: str, a: int, b: int, new: str) -> bool:
     """Whether the characters stand by themselves in a sentence that also has, by itself, what
     they would be repaired to, and is plain otherwise: a text about garbling."""
-    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or not new.strip():
+    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or not (bare := new.strip()) or bare not in text:
         return False
-    starts = [m.end() for m in _SENTENCE_END.finditer(text, max(0, a - 300), a)]
-    end = _SENTENCE_END.search(text, b)
-    rest = text[starts[-1] if starts else max(0, a - 300) : a] + " \0 " + text[b : end.end() if end else len(text)]
-    if not re.search(rf"(?<!\w){re.escape(new.strip())}(?!\w)", rest):
+    ends = _sentences(text)
+    at = bisect_left(ends, a + 1)
+    low = ends[at - 1] if at else 0
+    later = bisect_left(ends, b + 1)
+    high = ends[later] if later < len(ends) else len(text)
+    rest = text[low:a] + " \0 " + text[b:high]
+    if not re.search(rf"(?<!\w){re.escape(bare)}(?!\w)", rest):
         return False
     return all(c in new or c in "“”‘’–—«»" for c in rest if c > "\x7f")
 
 
-def _count(texts, chars: set[str]) -> Counter:
+def _count(texts: list[str], chars: set[str]) -> Counter:
     """How many texts there are, and how many have each character, pair and pair of kinds, by
     (what, key), but for what UTF-8 read as something else may have left. Pairs of ASCII
     characters, which no reading changes, are not counted."""
-    pairs: Counter = Counter()
-    kinds: Counter = Counter()
-    singles: Counter = Counter()
-    n, memo = 0, {}
-    for t in texts:
-        n += 1
-        mine, like, letters = set(), set(), {c for c in set(t) if c < "\x80"}
-        for place in set(_IN_PLACE.findall(t)):
-            if place not in memo:
-                if len(memo) > 100_000:
-                    memo.clear()
-                left, run, right = place
-                run = _unsuspected(run, chars)
-                whole = left + run + right
-                these = {a + b for a, b in zip(whole, whole[1:]) if a != "\0" != b}
-                memo[place] = these, {f"{kind_of(a)}\0{kind_of(b)}" for a, b in these}, {*run} - {"\0"}
-            a, b, c = memo[place]
-            mine |= a
-            like |= b
-            letters |= c
-        pairs.update(mine)
-        kinds.update(like)
-        singles.update(letters - {"\0"})
-    found = Counter({("texts", ""): n}) if n else Counter()
-    for what, counted in (("pair", pairs), ("kinds", kinds), ("single", singles)):
-        found.update({(what, k): times for k, times in counted.items()})
+    found: Counter = Counter({("texts", ""): len(texts)}) if texts else Counter()
+    memo = Memo()
+
+    def add(what: str, keys: np.ndarray, name) -> None:
+        # keys are distinct in a text, whose number stands in front
+        for k, n in zip(*(x.tolist() for x in np.unique(keys & np.uint64((1 << 42) - 1), return_counts=True))):
+            found[what, name(k)] += n
+
+    for _, scan in scans(texts):
+        texts_at = np.searchsorted(scan.offsets, np.arange(len(scan.code)), "right") - 1
+        hidden = np.zeros(len(scan.code), bool)
+        for i in np.flatnonzero(scan.any_in_runs(scan.utf8())).tolist():
+            a, b = int(scan.starts[i]), int(scan.ends[i])
+            run = scan.code[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+            hidden[a:b] = np.fromiter((c == "\0" for c in memo.of((run,), lambda run: _unsuspected(run, chars))), bool, b - a)
+        at = scan.at[~(hidden[scan.at] | hidden[scan.at + 1])]
+        a, b, number = (x.astype(np.uint64) for x in (scan.code[at], scan.code[at + 1], texts_at[at]))
+        pairs = np.unique(number << np.uint64(42) | a << np.uint64(21) | b)
+        add("pair", pairs, lambda k: chr(k >> 21) + chr(k & 0x1FFFFF))
+        # kinds of each distinct pair, numbered
+        distinct, where = np.unique(pairs & np.uint64((1 << 42) - 1), return_inverse=True)
+        kinds = [f"{kind_of(chr(k >> 21))}\0{kind_of(chr(k & 0x1FFFFF))}" for k in distinct.tolist()]
+        names = sorted(set(kinds))
+        of = {k: i for i, k in enumerate(names)}
+        coded = np.fromiter((of[k] for k in kinds), np.uint64, len(kinds))
+        add("kinds", np.unique((pairs >> np.uint64(42)) << np.uint64(42) | coded[where]), names.__getitem__)
+        shown = np.flatnonzero(~hidden)
+        there = scan.code[shown] < 128
+        plain = np.zeros((len(scan.offsets) - 1, 128), np.int64)
+        plain[texts_at[shown[there]], scan.code[shown[there]]] = 1
+        for c, n in enumerate(plain.sum(axis=0).tolist()):
+            if c and n:
+                found["single", chr(c)] += n
+        other = shown[~there]
+        add("single", np.unique(texts_at[other].astype(np.uint64) << np.uint64(42) | scan.code[other]), chr)
     return found
 
 
@@ -475,10 +650,11 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Garbli
     rows = df.where(f"length({text_col}) > 0").select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
 
     def letters(batches):
-        seen: set[str] = set()
+        seen = np.zeros(0x110000, bool)
         for batch in batches:
-            seen.update(*batch["text"])
-        yield pd.DataFrame({"c": sorted(seen)})
+            for _, scan in scans(batch["text"].tolist()):
+                seen[scan.code] = True
+        yield pd.DataFrame({"c": [chr(c) for c in np.flatnonzero(seen).tolist() if not 0xD800 <= c < 0xE000]}, dtype=object)
 
     chars = {r.c for r in rows.select("text").mapInPandas(letters, "c string").distinct().collect()}
     texts = cut_lineage(rows.distinct())
@@ -489,7 +665,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Garbli
             found: dict[str, Counter] = {}
             for batch in batches:
                 for lang, group in batch.groupby("lang"):
-                    some = group["text"] if model is None else [t for t in group["text"] if not t.isascii() and model.repair(t, whole=False)[0]]
+                    some = group["text"].tolist()
+                    if model is not None:
+                        some = [t for t, (wrong, _) in zip(some, model.repair_all(some, whole=False), strict=True) if wrong]
                     found.setdefault(lang, Counter()).update(_count(some, chars))
             for lang, counted in found.items():
                 yield pd.DataFrame([(*key, n, n * weights[lang]) for key, n in counted.items()], columns=["what", "key", "n", "weight"])
@@ -513,7 +691,7 @@ def find_garbled(df: DataFrame, cost: GarblingCost, id_col: str = "doc_id", text
 
     def run(batches):
         for batch in batches:
-            found = [cost.repair(t) for t in batch["text"]]
+            found = cost.repair_all(batch["text"].tolist())
             keep = [f for f, _ in found]
             yield pd.DataFrame({"id": batch["id"][keep], "text": pd.Series([t for f, t in found if f], batch.index[keep], object)})
 

@@ -283,6 +283,34 @@ def test_common_garblings_are_found(spark):
         assert cost.repair(wrong[0]) == (True, wrong[0].encode("cp1252").decode())
 
 
+def test_clean_batches_and_nested_readings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cost = garbled.fit(docs)
+    clean = frame(spark, [(i, t) for i, t in enumerate(["café olé", "naïve café", "", None, "plain"])], "doc_id bigint, text string")
+    assert garbled.find_garbled(clean, cost).count() == 0
+    text = "Die Bürger von Hollo schützt die Königin im Frühjahr."
+    deep = text
+    for _ in range(6):
+        deep = deep.encode().decode("latin-1")
+    assert cost.repair(deep) == (True, text)
+    # a citation is seen however long its sentence is
+    cited = "If you see Ã¶ where " + "the page has a long sentence that goes on and " * 40 + "ö is meant, it is a wrong code page."
+    assert cost.repair(cited) == (False, cited)
+
+
+def test_scan_equals_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab é\u00f6ßж漢Ã¼") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [""]
+    counted = garbled._count(texts, set())
+    singles, pairs = Counter(), Counter()
+    for t in texts:
+        hidden = "".join(garbled._unsuspected(r, set()) if not r.isascii() else r for r in re.findall(r"[\x00-\x7f]+|[^\x00-\x7f]+", t))
+        singles.update(set(hidden) - {"\0"})
+        pairs.update({x + y for x, y in zip(hidden, hidden[1:]) if not (x + y).isascii() and "\0" not in x + y})
+    assert {k: n for (w, k), n in counted.items() if w == "single"} == singles
+    assert {k: n for (w, k), n in counted.items() if w == "pair"} == pairs
+
+
 def test_cost_is_counted_over_whole_texts(spark):
     rows = [(i, "The mill stands. " * 100 + f"It is in Žďár, No. {i}.", "en") for i in range(1200)]
     cost = garbled.fit(frame(spark, rows, "doc_id bigint, text string, lang string"))
