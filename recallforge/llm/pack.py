@@ -169,10 +169,10 @@ def pack_items(items: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(item, size): the number of tokens of each text; null and empty texts have 0."""
-    path = path or rank_file()
+    ranks = read_ranks(path or rank_file())  # goes with the function: executors need no file
 
     def count(batches):
-        coder = tiktoken.Encoding("sizes", pat_str=SPLIT_PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        coder = tiktoken.Encoding("sizes", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             yield pd.DataFrame({"item": batch["item"], "size": np.fromiter((len(coder.encode_ordinary(t)) for t in batch["text"]), "int64", len(batch))})
 

@@ -33,7 +33,7 @@ def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None
     merges of lower rank."""
     parts = [token[i : i + 1] for i in range(len(token))]
     while len(parts) > 2:
-        merges = [ranks.get(a + b, len(ranks)) for a, b in zip(parts, parts[1:])]
+        merges = [ranks.get(a + b, 1 << 62) for a, b in zip(parts, parts[1:])]
         low = min(merges)
         if low >= ranks[token]:
             return None

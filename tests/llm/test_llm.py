@@ -1,11 +1,13 @@
 """Operators for training data: brute force, round trips and rows that are not as they should be."""
 
+import base64
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -41,6 +43,38 @@ def test_encoding_equals_the_tokenizer_and_decodes(spark):
     assert encode.encode_documents(docs.where("false")).count() == 0
 
 
+def coder_of(ranks):
+    return tiktoken.Encoding("t", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_words_are_split_as_the_pattern_does(spark):
+    rng = random.Random(6)
+    white = r"\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{white}\p{{L}}\p{{N}}]+|[{white}]+(?![^{white}])|[{white}]+")
+    some = [" ", "  ", "\n", "'", "s", "t", "re", "ve", "ll", "d", "a", "B", "é", "漢", "1", "٣", "-", "\u00a0", "🙂", "\u0301", "ж", "m"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 12))) for _ in range(5_000)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    bounds = encode.word_bounds(data, offsets)
+    assert [data[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])] == [w for t in texts for w in pattern.findall(t)]
+
+
+def test_long_words_and_another_vocabulary(spark, tmp_path):
+    ranks = read_ranks(rank_file())
+    coder, rng = coder_of(ranks), random.Random(7)
+    texts = ["".join(rng.choices("abcdefgh", k=1_000_000)), "灯台" * 3_000, "x" * 65, "y" * 64, "", None, "a b"]
+    docs = frame(spark, list(enumerate(texts)), "doc_id bigint, text string")
+    for chunk_bytes in (encode.CHUNK_BYTES, 50):
+        found = {r.doc_id: r.ids for r in encode.encode_documents(docs, chunk_bytes=chunk_bytes).collect()}
+        assert found == {i: coder.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    # the same tokens under ids beyond 65,536
+    path = tmp_path / "other.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {r + 100_000}\n" for t, r in ranks.items()))
+    few = docs.where("doc_id > 1")
+    found = {r.doc_id: r.ids for r in encode.encode_documents(few, path=str(path)).collect()}
+    assert found == {i: [x + 100_000 for x in coder.encode_ordinary(t or "")] for i, t in enumerate(texts) if i > 1}
+
+
 def best_fit(capacity, sizes):
     free = []
     for s in sorted(sizes, reverse=True):
