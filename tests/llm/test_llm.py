@@ -251,22 +251,25 @@ def test_usual_ends_are_a_rate(spark):
 # 5
 
 
+def crowd(skill, items, labels, per_item, seed):
+    rng, rows, truth = random.Random(seed), [], {}
+    for i in range(items):
+        truth[f"i{i}"] = t = rng.choice(labels)
+        for a in rng.sample(sorted(skill), per_item(i)):
+            rows.append((f"i{i}", a, t if rng.random() < skill[a] else rng.choice([x for x in labels if x != t])))
+    return rows, truth
+
+
 def test_consensus_beats_the_majority(spark):
-    rng = random.Random(4)
-    skill = {f"good{i}": 0.95 for i in range(3)} | {f"bad{i}": 0.25 for i in range(8)}
-    rows, truth = [], {}
-    for i in range(1500):
-        truth[f"i{i}"] = t = rng.randint(-1, 8)
-        for a in rng.sample(sorted(skill), 5):
-            rows.append((f"i{i}", a, t if rng.random() < skill[a] else rng.randint(-1, 8)))
+    skill = {f"good{i}": 0.95 for i in range(3)} | {f"bad{i}": 0.3 for i in range(8)}
+    rows, truth = crowd(skill, 1500, [*range(-1, 9)], lambda i: 5, 4)
     df = frame(spark, rows + rows[:200] + [("i0", "good0", None), (None, "good0", 1)], "id string, annotator string, label int")
     voted = consensus.votes(df, "id", "annotator", "label").persist()
     assert voted.count() == len(rows)
-    chance = consensus.chance_of(voted)
-    reliability = consensus.reliabilities(consensus.agreement(voted, chance))
-    known = {r.annotator: r.reliability for r in reliability.collect()}
+    reliability = consensus.reliabilities(voted)
+    known = {r.annotator: r.reliability for r in consensus.annotators(reliability).collect()}
     assert min(v for k, v in known.items() if k.startswith("good")) > 0.8 > 0.5 > max(v for k, v in known.items() if k.startswith("bad"))
-    found = {r.item: r.label for r in consensus.consensus(voted, reliability, chance).collect()}
+    found = {r.item: r.label for r in consensus.consensus(voted, reliability).collect()}
     right = sum(found[i] == t for i, t in truth.items())
     votes = {}
     for i, _, label in rows:
@@ -274,7 +277,48 @@ def test_consensus_beats_the_majority(spark):
     majority = sum(v.most_common(1)[0][0] == truth[i] for i, v in votes.items())
     assert right > majority and right / len(truth) > 0.8
     single = voted.where("item = 'i0' AND annotator LIKE 'good%'").limit(1)
-    assert consensus.consensus(single, consensus.reliabilities(consensus.agreement(single, 1.0)), 1.0).first().agreement is None
+    assert consensus.consensus(single, consensus.reliabilities(single)).first().agreement is None
+    assert consensus.consensus(voted.where("false"), consensus.reliabilities(voted.where("false"))).count() == 0
+    # items without pairs give the same vector
+    wide = {(r.annotator, r.block): r.g for r in consensus.reliabilities(voted, wide=2).collect()}
+    assert wide == pytest.approx({(r.annotator, r.block): r.g for r in reliability.collect()}, abs=1e-4)
+
+
+def test_a_contrary_annotator_is_not_reliable(spark):
+    skill = {f"good{i}": 0.9 for i in range(5)} | {"contrary": 0.05}
+    rows, truth = crowd(skill, 800, ["no", "yes"], lambda i: 6 if i % 2 else 4, 8)
+    voted = consensus.votes(frame(spark, rows, "id string, annotator string, label string"), "id", "annotator", "label").persist()
+    reliability = consensus.reliabilities(voted)
+    known = {r.annotator: r.reliability for r in consensus.annotators(reliability).collect()}
+    assert known.pop("contrary") == consensus.EDGE and min(known.values()) > 0.6
+    found = {r.item: r.label for r in consensus.consensus(voted, reliability).collect()}
+    assert sum(found[i] == t for i, t in truth.items()) / len(truth) > 0.97
+
+
+def test_eigenvectors_equal_dense_ones(spark):
+    skill = {f"a{i}": 0.3 + 0.06 * i for i in range(10)}
+    rows, _ = crowd(skill, 300, [0, 1, 2], lambda i: 4, 9)
+    voted = consensus.votes(frame(spark, rows, "id string, annotator string, label int"), "id", "annotator", "label").persist()
+    names, items = sorted(skill), {}
+    for i, a, label in rows:
+        items.setdefault(i, {})[names.index(a)] = label
+    p = np.zeros((10, 3))
+    both, shared = np.zeros((10, 10, 3)), np.zeros((10, 10))
+    for given in items.values():
+        for a, x in given.items():
+            p[a, x] += 1
+            for b, y in given.items():
+                if a != b:
+                    shared[a, b] += 1
+                    both[a, b, x] += x == y
+    p /= p.sum(axis=1, keepdims=True)
+    overlap = shared.sum(axis=1)
+    found = {(r.annotator, r.block): r.g for r in consensus.reliabilities(voted).collect()}
+    for block, share, excess in [("*", np.ones(10), both.sum(axis=2) - shared * (p @ p.T)), *((f"={x}", p[:, x], both[:, :, x] - shared * np.outer(p[:, x], p[:, x])) for x in range(3))]:
+        scale = np.sqrt(overlap * share)
+        values, vectors = np.linalg.eigh(excess / np.outer(scale, scale))
+        top = vectors[:, -1] * np.sign(vectors[:, -1] @ scale) * np.sqrt(values[-1] * overlap.sum() / overlap)
+        assert [found[a, block] for a in names] == pytest.approx(top.tolist(), abs=1e-3)
 
 
 # 8
