@@ -149,13 +149,22 @@ def tokens(text: str) -> list[str]:
 
 
 def common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a row of the table as the bits of one number."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    masks: dict[str, int] = {}
+    row = full = (1 << len(b)) - 1
     for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        if x in places:
+            if x not in masks:
+                bits = bytearray(len(b) // 8 + 1)
+                for j in places[x]:
+                    bits[j >> 3] |= 1 << (j & 7)
+                masks[x] = int.from_bytes(bits, "little")
+            met = row & masks[x]
+            row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
 
 
 class RefusalTemplates:
