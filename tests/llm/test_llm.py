@@ -133,6 +133,8 @@ def test_pieces_overlap_fit_and_survive_edits(spark):
         assert max(map(len, mine)) <= size
         assert all(a[len(a) - overlap :] == b[:overlap] for a, b in zip(mine, mine[1:]))
         assert mine[0] + [w for m in mine[1:] for w in m[overlap:]] == word.findall(text)
+    kept = chunk.pieces(chunk.cut_texts(pages, frame(spark, configs, "config_id int, size int, overlap int"), "id", keep_text=True))
+    assert {(r.config_id, r.text) for r in kept.where("id = 1").collect()} == {(c, text[a:b]) for c in (1, 2, 3, 4) for a, b in spans[c, 1]}
     mine, edited = ({(t[a:b]) for a, b in spans[1, i]} for i, t in ((1, text), (2, text[:9000] + " one two three " + text[9000:])))
     assert len(edited - mine) <= 5 < len(mine)
 
@@ -156,6 +158,23 @@ def test_sketch_keeps_its_error_through_merges():
         assert sum(map(len, whole.levels)) < 6_000
 
 
+def test_error_of_many_merged_sketches():
+    """The stated error is three standard deviations: sketches built apart must not err alike."""
+    rng, over, trials = np.random.default_rng(3), 0, 0
+    for trial in range(12):
+        values = rng.lognormal(size=40_000)
+        whole = sketch.Sketch(seed=trial)
+        for i, part in enumerate(np.array_split(values, 60)):
+            piece = sketch.Sketch(seed=(trial * 60 + i) << 32)
+            piece.add(part)
+            whole.merge(sketch.Sketch(*piece.row()))
+        ordered = np.sort(values)
+        for q, x in zip(sketch.PERCENTILES, whole.quantiles(sketch.PERCENTILES)):
+            trials += 1
+            over += abs(np.searchsorted(ordered, x, "right") / len(values) - q) > sketch.error_of(q) + 1e-4
+    assert over <= trials * 0.02
+
+
 def test_percentiles_of_days_and_of_all(spark):
     rows = [(i, "a", i % 3, float(i)) for i in range(100)] + [(5, "a", 2, 5.0), (200, "a", 0, None), (201, "a", 0, float("nan")), (202, "a", 0, -1.0), (None, "b", 1, 7.0), (None, "b", 1, 7.0), (300, None, 1, 1.0)]
     df = frame(spark, rows, "id bigint, setup string, d int, v double").withColumn("day", F.date_add(F.lit("2025-01-01").cast("date"), F.col("d")))
@@ -199,6 +218,20 @@ def test_long_refusals(model):
     assert pairs.defect_of(q, refusal + " Ostra Mill was founded by Kin Vel.", model, templates) is None
 
 
+def test_common_subsequence_equals_the_table():
+    rng = random.Random(11)
+    for _ in range(500):
+        a, b = (rng.choices("abcd", k=rng.randint(0, 12)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for p in a:
+            corner = 0
+            for j, q in enumerate(b, 1):
+                corner, row[j] = row[j], corner + 1 if p == q else max(row[j], row[j - 1])
+        assert pairs.common(a, b) == row[-1]
+    words = [str(rng.randint(0, 3_000)) for _ in range(30_000)]
+    assert pairs.is_copy(words, words) and not pairs.is_copy(words, words[::-1])
+
+
 def test_find_defects_keeps_rows(spark, model):
     df = frame(spark, [(1, None, None, 1), (1, None, None, 1), (None, "Who?", "I don't know", 1), (3, "Who?", "Kin Vel", 1)], "answer_id bigint, question string, text string, defect int")
     assert sorted((r.answer_id or 0, r.defect) for r in pairs.find_defects(df, model).collect()) == [(0, "refusal"), (1, "empty"), (1, "empty")]
@@ -238,13 +271,33 @@ def test_survivors(spark):
     assert survivors.survivors(df.where("false")).count() == 0
 
 
+def test_values_keep_all_that_are_true(spark):
+    rng, rows = random.Random(12), []
+    for p in range(300):
+        # two sound feeds give one or both true values, the third a false one half of the time
+        for feed in ("a", "b", "c"):
+            for v in ("x", "y"):
+                if rng.random() < 0.9:
+                    rows.append((f"p{p}", feed, f"{v}{p}" if feed != "c" or rng.random() < 0.5 else f"wrong{p}{v}"))
+    found = survivors.true_values(frame(spark, rows, "key string, feed string, value string")).collect()
+    right = [(r.truth >= 0.5) == (not r.value.startswith("wrong")) for r in found]
+    assert sum(right) / len(right) > 0.95
+    assert survivors.true_values(frame(spark, [], "key string, feed string, value string")).count() == 0
+
+
+def test_empty_urls_tell_no_page(spark):
+    rows = [(1, "page-1", ""), (2, None, ""), (3, None, None), (4, "page-4", "u"), (5, " ", "U?x=1")]
+    keyed = survivors.keyed(frame(spark, rows, "record_id bigint, page_id string, url string"))
+    assert {r.record_id: r.key for r in keyed.collect()} == {1: "page-1", 4: "page-4", 5: "page-4"}
+
+
 def test_usual_ends_are_a_rate(spark):
     within = [f"Near the mill, town {chr(97 + i)} has a harbour." for i in range(20)]
     ends = [f"Town {chr(97 + i)} is by the mill." for i in range(4)] + [f"Town {chr(97 + i)} has an old bridge." for i in range(6)]
     cut = ["Town z is by the mill", "Town z has an old bridge"]
     rows = [(i, f"page-{i}", t, None, "crawl", None, None) for i, t in enumerate(within + ends + cut)]
     df = frame(spark, rows, f"record_id bigint, page_id string, text string, blocks {BLOCKS}, feed string, captured_at timestamp_ntz, url string")
-    found = {r.record_id: r.ending for r in survivors.reports(survivors.keyed(df)).collect()}
+    found = {r.record_id: r.ending for r in survivors.reports(survivors.feed_of(survivors.keyed(df))).collect()}
     assert [found[30], found[31]] == ["open", "stop"]
 
 
