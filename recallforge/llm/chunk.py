@@ -9,16 +9,18 @@ further on stay as they were.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words under the rolling hash.
 WINDOW = 6
-#: Usable configurations at once; each text is cut once for each.
-MAX_CONFIGS = 1_000
+#: Usable configurations in one pass over the texts; more are taken in further passes.
+CONFIGS = 1_000
 
 # Code points with the Unicode property White_Space, no-break spaces included.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -127,8 +129,9 @@ def _cutter(configs: list[tuple], only_cut: bool, schema: pa.Schema):
                     rows, words, starts, ends = zip(*found, strict=True)
                     offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in starts]))), pa.int32())
                     lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (starts, ends)]
+                    text = [batch.column("text").take(pa.array(rows)).cast(pa.string())] if "text" in schema.names else []
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([config] * len(rows), schema.field(0).type), batch.column("item").take(pa.array(rows)), pa.array(words, pa.int32()), *lists],
+                        [pa.array([config] * len(rows), schema.field(0).type), batch.column("item").take(pa.array(rows)), pa.array(words, pa.int32()), *lists, *text],
                         schema=schema,
                     )
 
@@ -141,39 +144,34 @@ def usable(configs: DataFrame) -> DataFrame:
 
 
 def cut_texts(
-    df: DataFrame, configs: DataFrame, id_col: str, config_col: str = "config_id", text_col: str = "text", only_cut: bool = True
+    df: DataFrame, configs: DataFrame, id_col: str, config_col: str = "config_id", text_col: str = "text", only_cut: bool = True, keep_text: bool = False
 ) -> DataFrame:
-    """(config, id, words, starts, ends): the pieces of each text under each usable config.
+    """(config, id, words, starts, ends[, text]): the pieces of each text under each usable config.
 
     ``starts`` and ``ends`` are code-point offsets, half-open, one pair a piece. Pieces have at
     most ``size`` words and share exactly ``overlap`` words with the piece before. A word is a
-    longest run without Unicode white space. A text of at most ``size`` words is one piece,
-    and is left out if ``only_cut``; null, empty and blank texts have no pieces. Repeated rows
-    are cut each for itself; other columns are ignored. One pass, no shuffle: a text meets all
-    configurations in the task that reads it.
+    longest run without Unicode white space, however long: a text without white space is one word
+    and is never cut. A text of at most ``size`` words is one piece, and is left out if
+    ``only_cut``; null, empty and blank texts have no pieces. Repeated rows and ids are cut each for
+    itself; other columns are ignored. ``keep_text`` passes the text on, so that ``pieces`` need not
+    look for it. One pass, no shuffle: a text meets all configurations, or ``CONFIGS`` at a time, in
+    the task that reads it.
     """
-    chosen = usable(configs).select(config_col, "size", "overlap").distinct().take(MAX_CONFIGS + 1)
-    if len(chosen) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} usable configurations")
+    chosen = sorted(tuple(c) for c in usable(configs).select(config_col, "size", "overlap").distinct().toLocalIterator())
     items = df.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-    config_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((configs, config_col), (items, "item")))
-    schema = pa.schema([("config", kinds[config_type]), ("item", kinds[item_type]), ("words", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
-    cutter = _cutter(sorted(tuple(c) for c in chosen), only_cut, schema)
-    cuts = items.mapInArrow(cutter, f"config {config_type}, item {item_type}, words int, starts array<int>, ends array<int>")
-    return cuts.select(F.col("config").alias(config_col), F.col("item").alias(id_col), "words", "starts", "ends")
+    config_type, item_type = configs.schema[config_col].dataType, items.schema["item"].dataType
+    fields = [("config", to_arrow_type(config_type)), ("item", to_arrow_type(item_type)), ("words", pa.int32()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
+    schema = pa.schema(fields + [("text", pa.string())] * keep_text)
+    columns = f"config {config_type.simpleString()}, item {item_type.simpleString()}, words int, starts array<int>, ends array<int>" + ", text string" * keep_text
+    passes = [items.mapInArrow(_cutter(chosen[i : i + CONFIGS], only_cut, schema), columns) for i in range(0, max(len(chosen), 1), CONFIGS)]
+    cuts = reduce(DataFrame.unionByName, passes)
+    return cuts.select(F.col("config").alias(config_col), F.col("item").alias(id_col), "words", "starts", "ends", *["text"] * keep_text)
 
 
 def pieces(cuts: DataFrame) -> DataFrame:
-    """One row a piece: the columns of ``cuts`` with piece (from 0), start and end."""
-    keys = [c for c in cuts.columns if c not in ("words", "starts", "ends")]
-    return cuts.select(*keys, F.posexplode(F.arrays_zip("starts", "ends")).alias("piece", "span")).select(
-        *keys, "piece", F.col("span.starts").alias("start"), F.col("span.ends").alias("end")
-    )
-
-
-def with_text(spans: DataFrame, df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """The piece's text beside each span."""
-    return spans.join(df.select(id_col, text_col), id_col).withColumn(
-        text_col, F.expr(f"substring({text_col}, start + 1, end - start)")
-    )
+    """One row a piece: the columns of ``cuts`` with piece (from 0), start and end, and with the
+    piece's own text where ``cuts`` have the text."""
+    keys = [c for c in cuts.columns if c not in ("words", "starts", "ends", "text")]
+    text = [F.expr("substring(text, span.starts + 1, span.ends - span.starts)").alias("text")] * ("text" in cuts.columns)
+    spans = cuts.select(*keys, *["text"] * len(text), F.posexplode(F.arrays_zip("starts", "ends")).alias("piece", "span"))
+    return spans.select(*keys, "piece", F.col("span.starts").alias("start"), F.col("span.ends").alias("end"), *text)

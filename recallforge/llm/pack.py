@@ -10,6 +10,8 @@ its own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import tiktoken
@@ -19,11 +21,11 @@ from pyspark.sql import functions as F
 from recallforge.llm.vocabulary import SPLIT_PATTERN, rank_file, read_ranks
 from recallforge.session import cut_lineage
 
-#: Numbers within a size are given in this many independent parts, so that a size
+#: Numbers within a size are given in independent parts of about so many items, so that a size
 #: that most items share is not numbered by one task.
-NUMBERING_PARTS = 64
-#: Kinds of container, not containers; each item is listed once for each.
-MAX_KINDS = 1_000
+PART_ITEMS = 200_000
+#: Kinds of container in one literal; more are taken in further literals.
+KINDS = 1_000
 #: Items of a size per join key when looking up bins.
 BLOCK = 8_192
 
@@ -123,18 +125,20 @@ def pack_items(items: DataFrame, boxes: DataFrame) -> DataFrame:
     ignored. Sizes are computed once: they are written to the shared folder.
     """
     boxes = boxes.select("box", F.col("capacity").cast("bigint").alias("capacity")).where("capacity >= 1").distinct()
-    kinds = boxes.take(MAX_KINDS + 1)
-    if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} kinds of container")
+    kinds = list(boxes.toLocalIterator())
     kind_type = f"array<struct<box:{boxes.schema['box'].dataType.simpleString()},capacity:bigint>>"
-    each_kind = F.array(*(F.struct(F.lit(k["box"]), F.lit(k["capacity"])) for k in kinds)).cast(kind_type)
+    sized = cut_lineage(items.select("item", F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0)).alias("whole")))
+    numbering = 1 + sized.count() // PART_ITEMS
+    listed = [
+        sized.select("*", F.inline(F.array(*(F.struct(F.lit(k["box"]), F.lit(k["capacity"])) for k in kinds[i : i + KINDS])).cast(kind_type)))
+        for i in range(0, max(len(kinds), 1), KINDS)
+    ]
     parted = (
-        cut_lineage(items.select("item", F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0)).alias("whole")))
-        .select("*", F.inline(each_kind))
+        reduce(DataFrame.unionByName, listed)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / F.col("capacity")) - 1, F.lit(0)).cast("int"))))
         .withColumn("size", F.least(F.col("whole") - F.col("part") * F.col("capacity"), "capacity"))
         .drop("whole")
-        .withColumn("share", F.pmod(F.xxhash64("item", "part"), F.lit(NUMBERING_PARTS)))
+        .withColumn("share", F.pmod(F.xxhash64("item", "part"), F.lit(numbering)))
     )
     keys = ["box", "size", "share"]
     shares = parted.where("size > 0").groupBy("box", "capacity", "size", "share").count()

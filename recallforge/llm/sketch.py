@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,19 @@ def error_of(q: float) -> float:
     return 3 * math.sqrt(0.0512 / SECTIONS) / SECTION * (1 - q)
 
 
+def _coin(seed: int, level: int, done: int) -> int:
+    """Whether a compaction promotes the odd or the even values: drawn for every second one, of
+    which the next is the complement, so that two in a row cancel."""
+    x = (seed * 0x9E3779B97F4A7C15 + level * 0xBF58476D1CE4E5B9 + (done >> 1) * 0x94D049BB133111EB) & (1 << 64) - 1
+    x = (x ^ x >> 31) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+    return (x >> 40 ^ done) & 1
+
+
 class Sketch:
-    def __init__(self, n: int = 0, levels=(), compactions=()):
+    """``seed`` keeps the coins of sketches that are built apart independent."""
+
+    def __init__(self, n: int = 0, levels=(), compactions=(), seed: int = 0):
+        self.seed = seed
         self.n, self.levels, self.compactions = int(n), [np.asarray(x, float) for x in levels], list(map(int, compactions))
 
     @staticmethod
@@ -70,8 +82,7 @@ class Sketch:
                 keep = max(most // 2, most - sections * SECTION)
                 lowest = len(values) - keep
                 lowest -= lowest & 1
-                odd = (done * 0x9E3779B1 + level * 0x85EBCA6B) >> 7 & 1
-                self._put(level + 1, values[odd:lowest:2])
+                self._put(level + 1, values[_coin(self.seed, level, done) : lowest : 2])
                 self.levels[level] = values[lowest:]
                 self.compactions[level] = done + 1
             level += 1
@@ -98,7 +109,8 @@ def _fold(keys: list[str], take, give):
     one key, which may come in several batches; one sketch is held at a time."""
 
     def run(batches):
-        current, sketch = None, None
+        # each task's sketches, and each key's, have coins of their own
+        current, sketch, seed = None, None, TaskContext.get().partitionId() << 32
         for batch in batches:
             if not len(batch):
                 continue
@@ -112,7 +124,7 @@ def _fold(keys: list[str], take, give):
                 if head != current:
                     if sketch is not None:
                         out.append((*current, *give(sketch)))
-                    current, sketch = head, Sketch()
+                    current, sketch, seed = head, Sketch(seed=seed), seed + 1
                 take(sketch, batch, a, b)
             if out:
                 yield pd.DataFrame(out, columns=[*keys, *SKETCH_COLUMNS])
