@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from recallforge.session import cut_lineage
 
 #: Questions scored in one pass over the index.
 QUESTION_BLOCK = 20_000
+#: Query vectors scored in one pass, and chunks in a part of the index.
+VECTOR_BLOCK, PART_CHUNKS = 4_096, 20_000
+CANDIDATES = "question_id string, chunk_id string, page_id string, score double"
 
 
 def postings(chunks: DataFrame, k1: float = 0.9, b: float = 0.4, stems: DataFrame | None = None) -> DataFrame:
@@ -68,27 +72,33 @@ def rank(scores: DataFrame, depth: int, positive_only: bool = False) -> DataFram
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).select("question_id", "rank", "chunk_id", "page_id", "score")
 
 
-def bm25_search(chunks: DataFrame, questions: DataFrame, depth: int = 100, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+def bm25_search(chunks: DataFrame, questions: DataFrame, depth: int = 100, k1: float = 0.9, b: float = 0.4, stems: DataFrame | None = None) -> DataFrame:
     """The BM25 ranking of every question, as ``rank(bm25_scores(...))`` gives it.
 
-    For many questions: the index is laid out by chunk, each task adds the weights of a
-    question's terms over its own chunks in NumPy and keeps its best ``depth``, so what is
-    shuffled are candidates and not one row for each question, term and chunk. Questions come
-    in blocks of at most ``QUESTION_BLOCK``, whatever their number.
+    For many questions: the index is laid out by chunk in parts of bounded size, each task adds
+    the weights of a question's terms in NumPy over the chunks that have one of them and keeps
+    its best ``depth``, so what is shuffled are candidates and not one row for each question,
+    term and chunk. Questions come in blocks of at most ``QUESTION_BLOCK``, whatever their number.
     """
-    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = cut_lineage(postings(chunks, k1, b).repartition(tasks, "chunk_id"))
+    index = postings(chunks, k1, b, stems)
+    size = chunks.count()
+    index = cut_lineage(index.repartition(max(1 + size // PART_CHUNKS, min(8, 1 + size // 1_000)), "chunk_id"))
     # blocks of questions by hash: few and bounded, each scored in a pass of its own
-    terms = query_terms(questions).groupBy("question_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms"))
-    blocks = 1 + questions.count() // QUESTION_BLOCK
+    terms = cut_lineage(query_terms(questions, stems).groupBy("question_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms")))
+    blocks = 1 + terms.count() // QUESTION_BLOCK
     runs = []
     for block in range(blocks):
         asked = [(r.question_id, [(t.term, t.qtf) for t in r.terms]) for r in terms.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).collect()]
-        runs.append(index.mapInPandas(_scorer(asked, depth), "question_id string, chunk_id string, page_id string, score double"))
-    out = runs[0]
-    for more in runs[1:]:
-        out = out.unionByName(more)
-    return rank(out, depth)
+        runs.append(index.mapInPandas(_scorer(asked, depth), CANDIDATES))
+    return rank(reduce(DataFrame.unionByName, runs), depth)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the ``depth`` greatest scores, of equals those of the smaller ids."""
+    at = np.arange(len(score))
+    if len(score) > depth:
+        at = np.flatnonzero(score >= np.partition(score, -depth)[-depth])
+    return at[np.lexsort((ids[at], -score[at]))][:depth]
 
 
 def _scorer(asked: list, depth: int) -> Callable:
@@ -102,70 +112,78 @@ def _scorer(asked: list, depth: int) -> Callable:
         codes, ids = pd.factorize(held["chunk_id"], sort=True)
         page = np.empty(len(ids), object)
         page[codes] = held["page_id"].to_numpy()
-        held = pd.DataFrame({"term": held["term"].to_numpy(), "c": codes, "w": held["weight"].to_numpy()})
-        columns = {t: (g["c"].to_numpy(), g["w"].to_numpy()) for t, g in held.groupby("term", sort=False)}
-        out = []
+        order = np.argsort(held["term"].to_numpy(), kind="stable")
+        names, first = np.unique(held["term"].to_numpy()[order], return_index=True)
+        at, weight, ends = codes[order], held["weight"].to_numpy()[order], np.append(first, len(order))
+        column = {t: slice(a, b) for t, a, b in zip(names, ends[:-1], ends[1:])}
+        score, out = np.zeros(len(ids)), []
         for question, terms in asked:
-            score = np.zeros(len(ids))
-            for term, times in sorted(terms):
-                if term in columns:
-                    at, weight = columns[term]
-                    score[at] += times * weight
-            score = np.round(score, 9)
-            hit = np.flatnonzero(score > 0)
-            if len(hit) > depth:
-                least = np.partition(score[hit], -depth)[-depth]
-                hit = hit[score[hit] >= least]
-            best = hit[np.lexsort((hit, -score[hit]))][:depth]
-            out.append(pd.DataFrame({"question_id": question, "chunk_id": ids[best], "page_id": page[best], "score": score[best]}))
+            used = [(column[term], times) for term, times in sorted(terms) if term in column]
+            for place, times in used:
+                score[at[place]] += times * weight[place]  # a chunk has a term once
+            if not used:
+                continue
+            hit = np.unique(np.concatenate([at[place] for place, _ in used])) if len(used) > 1 else at[used[0][0]]
+            value = np.round(score[hit], 9)
+            score[hit] = 0.0
+            hit, value = hit[value > 0], value[value > 0]
+            best = _best(value, hit, depth)
+            out.append((question, ids[hit[best]], page[hit[best]], value[best]))
             if len(out) >= 500:
-                yield pd.concat(out)
+                yield _candidates(out)
                 out = []
         if out:
-            yield pd.concat(out)
+            yield _candidates(out)
 
     return run
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def _candidates(found: list) -> pd.DataFrame:
+    names, ids, pages, scores = zip(*found, strict=True)
+    return pd.DataFrame({
+        "question_id": np.repeat(np.array(names, object), [len(x) for x in ids]), "chunk_id": np.concatenate(ids), "page_id": np.concatenate(pages), "score": np.concatenate(scores)
+    })
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, depth: int | None = None) -> DataFrame:
     """(question_id, chunk_id, page_id, score): the dot product of every vector with every query.
 
     vectors are (chunk_id, page_id, vector), queries (question_id, vector): the stated query set,
-    taken in blocks of at most ``QUESTION_BLOCK``. Exact: every vector is scored.
+    taken in blocks of at most ``VECTOR_BLOCK``. Exact: every vector is scored. With ``depth`` only the
+    best so many of each batch and query come out, which ranking needs at most.
     """
-    blocks = 1 + queries.count() // QUESTION_BLOCK
+    blocks = 1 + queries.count() // VECTOR_BLOCK
     runs = []
     for block in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).select("question_id", "vector").collect()
+        asked = queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).where("vector IS NOT NULL").select("question_id", "vector").collect()
         if asked:
             names, matrix = [r.question_id for r in asked], np.array([r.vector for r in asked], float).T
 
             def run(batches, names=names, matrix=matrix):
                 for batch in batches:
                     if len(batch):
-                        scores = np.stack(batch["vector"].to_numpy()).astype(float) @ matrix
-                        for i, name in enumerate(names):
-                            yield pd.DataFrame({"question_id": name, "chunk_id": batch["chunk_id"], "page_id": batch["page_id"], "score": np.round(scores[:, i], 9)})
+                        ids, pages = batch["chunk_id"].to_numpy(object), batch["page_id"].to_numpy(object)
+                        scores = np.round(np.stack(batch["vector"].to_numpy()).astype(float) @ matrix, 9)
+                        keep = [_best(scores[:, i], ids, depth) if depth else np.arange(len(ids)) for i in range(len(names))]
+                        for i in range(0, len(names), 500):
+                            yield _candidates([(names[j], ids[keep[j]], pages[keep[j]], scores[keep[j], j]) for j in range(i, min(i + 500, len(names)))])
 
-            runs.append(vectors.select("chunk_id", "page_id", "vector").where("vector IS NOT NULL").mapInPandas(run, "question_id string, chunk_id string, page_id string, score double"))
-    out = runs[0] if runs else vectors.sparkSession.createDataFrame([], "question_id string, chunk_id string, page_id string, score double")
-    for more in runs[1:]:
-        out = out.unionByName(more)
-    return out
+            runs.append(vectors.select("chunk_id", "page_id", "vector").where("vector IS NOT NULL").mapInPandas(run, CANDIDATES))
+    if not runs:
+        return vectors.sparkSession.createDataFrame([], CANDIDATES)
+    return reduce(DataFrame.unionByName, runs)
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, depth: int = 100) -> DataFrame:
-    return rank(dense_scores(vectors, queries), depth)
+    return rank(dense_scores(vectors, queries, depth), depth)
 
 
 def fuse(rankings: list[DataFrame], depth: int = 100, k: int = 60, candidates: int = 100) -> DataFrame:
     """Reciprocal-rank fusion: the sum of 1 / (k + rank) over the lists' first ``candidates``."""
     if k < 1 or candidates < 1:
         raise ValueError("k and candidates must be at least 1")
-    lists = None
-    for ranking in rankings:
-        part = ranking.where(F.col("rank") <= candidates).select("question_id", "chunk_id", "page_id", (1 / (k + F.col("rank"))).alias("gain"))
-        lists = part if lists is None else lists.unionByName(part)
+    gain = (1 / (k + F.col("rank"))).alias("gain")
+    lists = reduce(DataFrame.unionByName, [r.where(F.col("rank") <= candidates).select("question_id", "chunk_id", "page_id", gain) for r in rankings])
     return rank(lists.groupBy("question_id", "chunk_id", "page_id").agg(F.round(F.sum("gain"), 9).alias("score")), depth, positive_only=True)
 
 

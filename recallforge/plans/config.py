@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tomllib
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from functools import reduce
 from pathlib import Path
 from types import UnionType
 from typing import get_args, get_type_hints
@@ -12,9 +13,12 @@ from typing import get_args, get_type_hints
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallforge.functions import text as tx
+from recallforge.functions.stem import stem_terms
 from recallforge.operators import evaluation as ev
-from recallforge.operators import retrieval
-from recallforge.operators.chunking import ChunkSettings
+from recallforge.operators import retrieval, sampling
+from recallforge.operators.chunking import ChunkSettings, block_chunks, fixed_chunks
+from recallforge.session import cut_lineage
 from recallforge.sources.files import canonical_digest
 
 
@@ -140,14 +144,79 @@ def parse(text: str) -> Experiment:
     return found
 
 
+@dataclass(frozen=True)
+class Writer:
+    model: str
+    max_tokens: int = 256
+
+
+@dataclass(frozen=True)
+class Judge:
+    model: str
+    budget: float
+    workers: int = 8
+
+
+@dataclass(frozen=True)
+class StageTwo:
+    """Written answers: the setups and questions that are answered, and who writes and judges."""
+
+    name: str
+    setups: tuple
+    questions: int
+    writer: Writer
+    judge: Judge | None = None
+    passages: int = 10
+    seed: int = 1
+    answer_type: str | None = None
+
+
+def parse_stage_two(text: str) -> StageTwo:
+    """A configuration of written answers from TOML, as strict as ``parse``."""
+    problems: list[str] = []
+    found = _build(StageTwo, tomllib.loads(text), "", problems)
+    if not problems and found:
+        setups = found.setups
+        rules = [
+            (bool(setups) and all(isinstance(x, str) and x for x in setups) and len(set(setups)) == len(setups), "setups: different names are needed"),
+            (found.questions >= 1, "questions: below 1"),
+            (found.passages >= 1, "passages: below 1"),
+            (found.seed >= 0, "seed: below 0"),
+            (found.answer_type in (None, "paragraph", "table", "list"), "answer_type: paragraph, table or list"),
+            (found.writer is None or found.writer.max_tokens >= 1, "writer.max_tokens: below 1"),
+            (found.judge is None or (found.judge.budget > 0 and found.judge.workers >= 1), "judge: budget above 0 and workers at least 1"),
+        ]
+        problems += [message for ok, message in rules if not ok]
+    if problems:
+        raise ConfigError("\n".join(problems))
+    return found
+
+
+def stage_two_questions(config: StageTwo, questions: DataFrame) -> DataFrame:
+    """The sample of the configuration by answer type; ``answer_type`` filters after the draw, so that
+    the questions of a type are the same with and without it."""
+    drawn = sampling.stratified(questions, "answer_type", "question_id", config.questions, config.seed)
+    return drawn if config.answer_type is None else drawn.where(F.col("answer_type") == config.answer_type)
+
+
 def load(path: str) -> Experiment:
     return parse(Path(path).read_text())
 
 
+def stems_of(*texts: DataFrame) -> DataFrame:
+    """(term, stem) of every term of the texts (text), written once."""
+    terms = [t.select(F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("term")).distinct() for t in texts]
+    return cut_lineage(stem_terms(reduce(DataFrame.unionByName, terms)))
+
+
 def first_stage(config: Retrieval, chunks: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """The ranking of the configured method, as one plan over all questions."""
+    if config.method != "bm25" and (vectors is None or queries is None):
+        raise ValueError(f"{config.method} needs vectors of chunks and of questions")
+
     def lexical(depth: int) -> DataFrame:
-        return retrieval.bm25_search(chunks, questions, depth, config.bm25.k1, config.bm25.b)
+        stems = stems_of(chunks.select("text"), questions.select(F.col("question").alias("text"))) if config.bm25.stem else None
+        return retrieval.bm25_search(chunks, questions, depth, config.bm25.k1, config.bm25.b, stems)
 
     if config.method == "bm25":
         return lexical(config.depth)
@@ -156,15 +225,65 @@ def first_stage(config: Retrieval, chunks: DataFrame, questions: DataFrame, vect
     return retrieval.fuse([lexical(config.fusion.candidates), retrieval.dense_search(vectors, queries, config.fusion.candidates)], config.depth, config.fusion.k, config.fusion.candidates)
 
 
-def run_experiment(config: Experiment, chunks: DataFrame, questions: DataFrame, spans: DataFrame, vectors=None, queries=None, scorer=None) -> dict[str, DataFrame]:
-    """Rankings, judgements, excluded questions, metrics of questions and their means by type."""
-    judgements = ev.span_judgements(spans, chunks)
-    kept, excluded = ev.split_evaluable(questions, judgements)
-    ranking = first_stage(config.retrieval, chunks, kept, vectors, queries)
-    if config.rerank and scorer:
+def chunk(settings: ChunkSettings, pages: DataFrame) -> DataFrame:
+    """The chunks that the settings ask for, of pages (page_id, title, text[, blocks]). Without blocks
+    a page is one block of prose, which fixed windows cut natively."""
+    if "blocks" not in pages.columns:
+        if settings.strategy == "fixed_words":
+            return fixed_chunks(pages, settings)
+        one = F.struct(
+            F.lit("paragraph").alias("kind"), F.lit("").alias("section"), "text", F.lit(0).alias("start"), F.length("text").alias("end"),
+            F.lit("").alias("caption"), F.lit(None).cast("array<array<string>>").alias("rows"),
+        )
+        pages = pages.withColumn("blocks", F.when(F.col("text").isNotNull(), F.array(one)))
+    return block_chunks(pages, settings)
+
+
+def select_questions(config: Experiment, questions: DataFrame, passages: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions to evaluate and those left out: a question needs a relevant passage and a relevant
+    page. ``corpus.query_limit`` then draws so many by the seed; no question, or fewer than the
+    limit, raises."""
+    kept, excluded = ev.split_evaluable(questions, passages)
+    kept, without_page = ev.split_evaluable(kept, pages)
+    count, limit = kept.count(), config.corpus.query_limit
+    if count == 0 or (limit or 0) > count:
+        raise ValueError("no question can be evaluated" if count == 0 else f"query_limit {limit} is above the {count} questions")
+    drawn = kept if limit is None else sampling.first_by_hash(kept, "question_id", limit, config.seed)
+    return drawn, excluded.unionByName(without_page)
+
+
+def run_experiment(
+    config: Experiment, pages: DataFrame, questions: DataFrame, spans: DataFrame, vectors=None, queries=None, scorer=None, grades: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """All of one experiment as its configuration says: chunks, judgements, questions, rankings of
+    passages and pages, metrics of both levels and their means by type.
+
+    pages are (page_id, title, text[, blocks]), questions (question_id, question, answer_type), spans
+    (question_id, page_id, start, end). ``grades`` (question_id, page_id, grade) judge pages; without
+    them the pages of the spans are relevant. A configured reranker needs ``scorer``.
+    """
+    if config.rerank and scorer is None:
+        raise ValueError("a reranker is configured: a scorer is needed")
+    chunks = cut_lineage(chunk(config.chunking, pages))
+    passages = ev.span_judgements(spans, chunks)
+    of_pages = grades if grades is not None else spans.select("question_id", "page_id", F.lit(1).alias("grade")).distinct()
+    of_pages = of_pages.join(pages.select("page_id").distinct(), "page_id", "left_semi").select("question_id", F.col("page_id").alias("doc_id"), "grade")
+    kept, excluded = select_questions(config, questions, passages, of_pages)
+    kept = cut_lineage(kept)
+    asked = queries.join(kept.select("question_id"), "question_id", "left_semi") if queries is not None else None
+    ranking = first_stage(config.retrieval, chunks, kept, vectors, asked)
+    if config.rerank:
         # only the head reaches the scorer
+        ranking = cut_lineage(ranking)
         head = ranking.where(F.col("rank") <= config.rerank.depth).join(chunks.select("chunk_id", "text"), "chunk_id").join(kept.select("question_id", "question"), "question_id")
         scored = head.join(retrieval.score_pairs(head, scorer), ["question", "text"]).select("question_id", "chunk_id", "rescore")
         ranking = retrieval.rerank(ranking, scored, config.rerank.depth)
-    metrics = ev.question_metrics(ranking.withColumnRenamed("chunk_id", "doc_id"), judgements, list(config.evaluation.cutoffs))
-    return {"ranking": ranking, "judgements": judgements, "excluded": excluded, "metrics": metrics, "averages": ev.average(metrics, kept)}
+    ranking = cut_lineage(ranking)
+    cutoffs, ids = list(config.evaluation.cutoffs), kept.select("question_id")
+    levels = {
+        "passage": ev.question_metrics(ranking.withColumnRenamed("chunk_id", "doc_id"), passages.join(ids, "question_id", "left_semi"), cutoffs),
+        "page": ev.question_metrics(retrieval.pages_of(ranking).withColumnRenamed("page_id", "doc_id"), of_pages.join(ids, "question_id", "left_semi"), cutoffs),
+    }
+    metrics = reduce(DataFrame.unionByName, [m.select(F.lit(level).alias("level"), "*") for level, m in levels.items()])
+    averages = reduce(DataFrame.unionByName, [ev.average(m, kept).select(F.lit(level).alias("level"), "*") for level, m in levels.items()])
+    return {"chunks": chunks, "questions": kept, "excluded": excluded, "ranking": ranking, "judgements": passages, "metrics": metrics, "averages": averages}

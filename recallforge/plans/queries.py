@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallforge.functions import stem
 from recallforge.functions import text as tx
 from recallforge.operators import answers as an
 from recallforge.operators import chunking, corpus, models, report, retrieval, sampling, stats
 from recallforge.operators import evaluation as ev
-from recallforge.plans import sql
+from recallforge.plans import config, grid, sql
+from recallforge.session import cut_lineage
 from recallforge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,29 +209,28 @@ def postings_weights(spark, sf):
     return retrieval.postings(_chunks(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("top"))
 
 
-@query(f"WITH {sql.BM25}, {sql.ranked(10)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking", INTEGER="rank")
+@query(f"WITH {sql.BM25}, {sql.ranked(100)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking", INTEGER="rank")
 def bm25_topk(spark, sf):
-    return retrieval.bm25_search(_chunks(spark, sf), _asked(spark, sf), 10).withColumn("score", F.round("score", 6))
+    return retrieval.bm25_search(_chunks(spark, sf), _asked(spark, sf), 100).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {sql.BM25}, {sql.ranked(5)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking", INTEGER="rank")
+@query(f"WITH {sql.BM25}, {sql.ranked(100)} SELECT question_id, rank, chunk_id, page_id, round(score, 6) AS score FROM ranking", INTEGER="rank")
 def bm25_join_topk(spark, sf):
     scores = retrieval.bm25_scores(retrieval.postings(_chunks(spark, sf)), retrieval.query_terms(_asked(spark, sf)))
-    return retrieval.rank(scores, 5, positive_only=True).withColumn("score", F.round("score", 6))
+    return retrieval.rank(scores, 100, positive_only=True).withColumn("score", F.round("score", 6))
 
 
 @query()
 def bm25_stemmed_topk(spark, sf):
     chunks, asked = _chunks(spark, sf), _asked(spark, sf)
-    terms = chunks.select(F.explode(tx.tokenize(F.col("text"))).alias("term")).unionByName(asked.select(F.explode(tx.tokenize(F.col("question"))).alias("term")))
-    stems = stem.stem_terms(terms).persist()
-    return retrieval.rank(retrieval.bm25_scores(retrieval.postings(chunks, stems=stems), retrieval.query_terms(asked, stems)), 10)
+    stems = config.stems_of(chunks.select("text"), asked.select(F.col("question").alias("text")))
+    return retrieval.bm25_search(chunks, asked, 100, stems=stems)
 
 
 def _vectors(spark, sf):
     rows = table(spark, sf, "embeddings")
     vectors = rows.select(F.concat(F.lit("v"), "vec_id").alias("chunk_id"), F.concat(F.lit("p"), F.col("vec_id") % 50).alias("page_id"), F.col("embedding").alias("vector"), "label")
-    queries = rows.where("vec_id < 20").select(F.concat(F.lit("q"), F.lpad(F.col("vec_id").cast("string"), 3, "0")).alias("question_id"), F.col("embedding").alias("vector"), "label", F.concat(F.lit("v"), "vec_id").alias("own"))
+    queries = rows.where("vec_id % 100 = 0").select(F.concat(F.lit("q"), F.lpad(F.col("vec_id").cast("string"), 12, "0")).alias("question_id"), F.col("embedding").alias("vector"), "label", F.concat(F.lit("v"), "vec_id").alias("own"))
     return vectors, queries
 
 
@@ -244,7 +244,10 @@ def _dense(spark, sf):
 
 @query(f"WITH {sql.DENSE} SELECT question_id, rank, chunk_id, round(score, 6) AS score FROM ranking WHERE rank <= 20", INTEGER="rank")
 def dense_topk(spark, sf):
-    return retrieval.rank(_dense(spark, sf)[0], 20).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    vectors, queries = _vectors(spark, sf)
+    # one more than asked for: the query's own vector is left out
+    found = retrieval.dense_scores(vectors, queries, 21).join(F.broadcast(queries.select("question_id", F.col("own").alias("chunk_id"))), ["question_id", "chunk_id"], "left_anti")
+    return retrieval.rank(found, 20).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT substr(sha256(text), 1, 32) AS text_key, count(*) AS documents FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -254,15 +257,15 @@ def encode_distinct(spark, sf):
     return docs.groupBy(tx.digest(F.col("text"), 32).alias("text_key")).agg(F.count("*").alias("documents")).join(vectors.select("text_key"), "text_key")
 
 
-@query(f"""WITH {sql.DENSE}, second AS (SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY md5(question_id || chunk_id), chunk_id) AS rank, chunk_id, page_id FROM scores) WHERE rank <= 50),
-gains AS (SELECT question_id, chunk_id, page_id, 1.0 / (60 + rank) AS g FROM ranking WHERE rank <= 50 UNION ALL SELECT question_id, chunk_id, page_id, 1.0 / (60 + rank) FROM second),
+@query(f"""WITH {sql.DENSE}, second AS (SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY md5(question_id || chunk_id), chunk_id) AS rank, chunk_id, page_id FROM scores) WHERE rank <= 100),
+gains AS (SELECT question_id, chunk_id, page_id, 1.0 / (60 + rank) AS g FROM ranking WHERE rank <= 100 UNION ALL SELECT question_id, chunk_id, page_id, 1.0 / (60 + rank) FROM second),
 fused AS (SELECT question_id, chunk_id, page_id, round(sum(g), 9) AS score FROM gains GROUP BY ALL)
-SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, page_id, score FROM fused) WHERE rank <= 30""", INTEGER="rank")
+SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, page_id, score FROM fused) WHERE rank <= 100""", INTEGER="rank")
 def rrf_fusion(spark, sf):
     scores, _ = _dense(spark, sf)
     second = Window.partitionBy("question_id").orderBy(F.md5(F.concat("question_id", "chunk_id")), "chunk_id")
-    other = scores.withColumn("rank", F.row_number().over(second)).where("rank <= 50")
-    return retrieval.fuse([retrieval.rank(scores, 100), other], 30, candidates=50)
+    other = scores.withColumn("rank", F.row_number().over(second)).where("rank <= 100")
+    return retrieval.fuse([retrieval.rank(scores, 100), other], 100, candidates=100)
 
 
 @query(f"WITH {sql.DENSE}, best AS (SELECT question_id, page_id, max(score) AS score, min(chunk_id) FILTER (score = top) AS best_chunk_id FROM (SELECT *, max(score) OVER (PARTITION BY question_id, page_id) AS top FROM scores) GROUP BY ALL) SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, page_id) AS rank, page_id, round(score, 6) AS score, best_chunk_id FROM best) WHERE rank <= 20", INTEGER="rank")
@@ -304,7 +307,7 @@ def question_metrics(spark, sf):
 
 def flagship(spark, sf) -> DataFrame:
     """Records to pages, chunks, BM25, judgements by overlap and mean metrics by answer type."""
-    asked, chunks = _asked(spark, sf), _chunks(spark, sf).persist()
+    asked, chunks = _asked(spark, sf), cut_lineage(_chunks(spark, sf))
     qrels = ev.span_judgements(_spans(asked), chunks)
     ranking = retrieval.bm25_search(chunks, asked, 100).withColumnRenamed("chunk_id", "doc_id")
     return ev.average(ev.question_metrics(ranking, qrels, [1, 5, 10, 100]), asked)
@@ -333,6 +336,29 @@ def two_level_metrics(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _experiment(spark, sf, **bm25):
+    """The first cell of the grid as its parsed file says, over the tables."""
+    text = grid.to_toml(grid.setup("fixed", "bm25", False))
+    for name, value in bm25.items():
+        text = re.sub(rf"{name} = .*", f"{name} = {value}", text)
+    return config.run_experiment(config.parse(text), _pages(spark, sf), _asked(spark, sf), _spans(_asked(spark, sf)))
+
+
+@query(f"""WITH {sql.BM25}, {sql.QRELS}, able AS (SELECT * FROM asked WHERE question_id IN (SELECT question_id FROM qrels)), {sql.ranked()}, {sql.metrics([1, 5, 10, 100])},
+firsts AS (SELECT question_id, page_id, min(rank) AS f FROM ranking GROUP BY ALL), prank AS (SELECT question_id, page_id, row_number() OVER (PARTITION BY question_id ORDER BY f) AS rank FROM firsts),
+pages_metrics AS (WITH qrels AS (SELECT question_id, page_id AS doc_id, 1 AS grade FROM able), {sql.metrics([1, 5, 10, 100], "prank", "page_id")} SELECT * FROM metrics),
+every AS (SELECT 'passage' AS level, * FROM metrics UNION ALL SELECT 'page', * FROM pages_metrics),
+named AS (SELECT level, answer_type, replace(metric, 'rr@', 'mrr@') AS metric, value FROM every JOIN able USING (question_id))
+SELECT level, coalesce(answer_type, CASE WHEN grouping(answer_type) = 1 THEN 'all' END) AS answer_type, metric, round(avg(value), 6) AS value FROM named GROUP BY GROUPING SETS ((level, answer_type, metric), (level, metric))""")
+def experiment_levels(spark, sf):
+    return _experiment(spark, sf, stem="false")["averages"].withColumn("value", F.round("value", 6))
+
+
+@query()
+def experiment_stemmed(spark, sf):
+    return _experiment(spark, sf)["averages"]
+
+
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY event_type")
 def latency_summary(spark, sf):
     found = ev.latency(table(spark, sf, "events", "event_type", "value"), ["event_type"], "value")
@@ -440,9 +466,9 @@ def label_sample(spark, sf):
     return sampling.per_group(rows, "setup", "answer_id", 40).select("answer_id", "setup")
 
 
-@query("WITH p AS (SELECT DISTINCT setup, question_id FROM timings) SELECT setup, question_id FROM (SELECT *, row_number() OVER (PARTITION BY setup ORDER BY md5('1:' || question_id), question_id) AS nth FROM p) WHERE nth <= 20")
+@query("WITH p AS (SELECT DISTINCT setup, question_id FROM timings) SELECT setup, question_id FROM (SELECT *, row_number() OVER (PARTITION BY setup ORDER BY md5('1:' || question_id), question_id) AS nth FROM p) WHERE nth <= 100")
 def timing_sample(spark, sf):
-    return sampling.per_group(table(spark, sf, "timings", "setup", "question_id").distinct(), "setup", "question_id", 20)
+    return sampling.per_group(table(spark, sf, "timings", "setup", "question_id").distinct(), "setup", "question_id", 100)
 
 
 @query(f"WITH {sql.QUESTIONS} SELECT question_id FROM asked ORDER BY md5('7:' || question_id), question_id LIMIT 50")
@@ -576,7 +602,7 @@ def trec_run_rows(spark, sf):
 
 @query(f"WITH {sql.BM25}, {sql.ranked(10)}, f AS (SELECT question_id, min(rank) AS rank FROM ranking JOIN chunks USING (chunk_id) JOIN asked USING (question_id) WHERE {sql.contains('substr(text, instr(text, chr(10)) + 1)', 'short_answers')} GROUP BY 1) SELECT question_id, rank FROM asked LEFT JOIN f USING (question_id)", INTEGER="rank")
 def answer_text_ranks(spark, sf):
-    asked, chunks = _asked(spark, sf), _chunks(spark, sf).persist()
+    asked, chunks = _asked(spark, sf), cut_lineage(_chunks(spark, sf))
     return report.text_ranks(retrieval.bm25_search(chunks, asked, 10), chunks, asked.select("question_id", "short_answers"), asked)
 
 

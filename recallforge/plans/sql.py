@@ -106,11 +106,11 @@ joined AS (SELECT * FROM ideal LEFT JOIN hits USING (question_id)),
 metrics AS ({' UNION ALL '.join(parts)})"""
 
 
-#: Vectors below 20 ask for others of their label.
+#: Every hundredth vector asks for others of its label, against all.
 DENSE = """
-dense AS (SELECT 'q' || lpad(CAST(q.vec_id AS VARCHAR), 3, '0') AS question_id, 'v' || v.vec_id AS chunk_id, 'p' || (v.vec_id % 50) AS page_id,
+dense AS (SELECT 'q' || lpad(CAST(q.vec_id AS VARCHAR), 12, '0') AS question_id, 'v' || v.vec_id AS chunk_id, 'p' || (v.vec_id % 50) AS page_id,
   round(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score, q.label AS ql, v.label AS vl
-  FROM embeddings q JOIN embeddings v ON q.vec_id < 20 AND v.vec_id <> q.vec_id),
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
 scores AS (SELECT question_id, chunk_id, page_id, score FROM dense),
 ranking AS (SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, page_id, score FROM scores) WHERE rank <= 100),
 qrels AS (SELECT question_id, chunk_id AS doc_id, 1 AS grade FROM dense WHERE ql = vl)"""

@@ -148,13 +148,27 @@ def test_samples_and_selection(spark):
 def test_experiment(spark):
     toml = 'name = "fixed-bm25"\n[corpus]\nname = "c"\n[retrieval]\nmethod = "bm25"\ndepth = 10\n[retrieval.bm25]\n[rerank]\nmodel = "m"\ndepth = 2\n[evaluation]\ncutoffs = [1, 5]\n'
     experiment = config.parse(toml)
-    chunks = spark.createDataFrame([("t#0", "t", "green tea leaves", 0, 16), ("r#0", "r", "the long river", 0, 14)], "chunk_id string, page_id string, text string, start int, end int")
+    pages = spark.createDataFrame([("t", "Tea", "green tea leaves"), ("r", "River", "the long rivers")], "page_id string, title string, text string")
     asked = spark.createDataFrame([("q1", "tea", "paragraph"), ("q2", "river", "list"), ("q9", "tea", "list")], "question_id string, question string, answer_type string")
     spans = spark.createDataFrame([("q1", "t", 0, 5), ("q2", "r", 4, 8), ("q9", "gone", 0, 1)], "question_id string, page_id string, start int, end int")
-    found = config.run_experiment(experiment, chunks, asked, spans, scorer=lambda q, p: [retrieval.shared_words(a, b) for a, b in zip(q, p)])
+    found = config.run_experiment(experiment, pages, asked, spans, scorer=lambda q, p: [retrieval.shared_words(a, b) for a, b in zip(q, p)])
+    with pytest.raises(ValueError):
+        config.run_experiment(experiment, pages, asked, spans)
     assert [r.question_id for r in found["excluded"].collect()] == ["q9"]
-    averages = {(r.answer_type, r.metric): r.value for r in found["averages"].collect()}
-    assert averages["all", "ndcg@5"] == 1.0 and averages["list", "mrr@1"] == 1.0
+    averages = {(r.level, r.answer_type, r.metric): r.value for r in found["averages"].collect()}
+    assert averages["passage", "all", "ndcg@5"] == 1.0 and averages["page", "list", "mrr@1"] == 1.0
+    plain = toml[: toml.index("[rerank]")] + toml[toml.index("[evaluation]") :]
+    # only stems find the page of rivers
+    asked = asked.withColumn("question", F.when(F.col("question_id") == "q2", F.lit("Rivering")).otherwise(F.col("question")))
+    for text, best in ((plain, 1.0), (plain.replace("[retrieval.bm25]", "[retrieval.bm25]\nstem = false"), 0.5)):
+        averages = {(r.level, r.answer_type, r.metric): r.value for r in config.run_experiment(config.parse(text), pages, asked, spans)["averages"].collect()}
+        assert averages["passage", "all", "recall@5"] == best
+    with pytest.raises(ValueError):
+        config.run_experiment(config.parse(plain.replace('name = "c"', 'name = "c"\nquery_limit = 3')), pages, asked, spans)
+    limited = config.run_experiment(config.parse(plain.replace('name = "c"', 'name = "c"\nquery_limit = 1')), pages, asked, spans)
+    assert limited["questions"].count() == 1
+    sections = config.parse(plain.replace("[retrieval]", '[chunking]\nstrategy = "sentence_aware"\nsize = 2\noverlap = 0\n[retrieval]'))
+    assert config.run_experiment(sections, pages, asked, spans)["chunks"].count() == 2
     for wrong in (toml.replace("depth = 10", 'depth = "10"'), toml + "extra = 1\n", toml.replace("bm25]", "dense]"), toml.replace("[1, 5]", "[1, 50]")):
         with pytest.raises(config.ConfigError):
             config.parse(wrong)
@@ -200,6 +214,16 @@ def test_grid_files_are_valid(tmp_path):
     assert {config.load(str(tmp_path / n)).name + ".toml" for n in names} == set(names)
 
 
+def test_grid_files_say_what_their_cells_are():
+    for cell in (("fixed", "bm25", False), ("section", "hybrid-qwen3", True, True), ("sentence", "minilm", False)):
+        assert config.parse(grid.to_toml(grid.setup(*cell))) == grid.setup(*cell)
+    found = config.parse_stage_two('name = "x"\nsetups = ["a", "b"]\nquestions = 10\n[writer]\nmodel = "w"\n')
+    assert found.setups == ("a", "b") and found.passages == 10
+    for wrong in ('name = "x"\nsetups = []\nquestions = 10\n[writer]\nmodel = "w"\n', 'name = "x"\nsetups = ["a"]\nquestions = 1\n'):
+        with pytest.raises(config.ConfigError):
+            config.parse_stage_two(wrong)
+
+
 def test_models_are_asked_once(spark, tmp_path):
     asked = spark.createDataFrame([("s", "q1", "where is it", ["T\nIt is here. Not", "T\nElse"]), ("t", "q1", "where is it", ["T\nIt is here. Not", "T\nElse"])], "setup string, question_id string, question string, passages array<string>")
     cache = files.Cache(spark, str(tmp_path / "replies"))
