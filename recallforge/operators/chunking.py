@@ -54,8 +54,13 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     lead = F.length(F.regexp_extract(text, f"^[{tx.SPACES}]*", 0))
     blocks = F.regexp_extract_all(text, F.lit(f"({item}{{1,{stride}}})"), F.lit(1))
 
-    def window(at: Column, b: Column) -> Column:
-        start = lead + F.aggregate(F.slice(b, F.lit(1), at), F.lit(0), lambda n, x: n + F.length(x))
+    def starts(b: Column) -> Column:
+        # where each block begins: one running sum over the page
+        first = F.struct(lead.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(b, first, lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+    def window(at: Column, b: Column, s: Column) -> Column:
+        start = F.get(s, at)
         raw = F.array_join(F.slice(b, at + 1, F.lit(whole)), "")
         if rest:
             raw = F.concat(raw, F.regexp_extract(F.coalesce(F.get(b, at + whole), F.lit("")), f"^({item}{{0,{rest}}})", 1))
@@ -65,7 +70,7 @@ def fixed_windows(text: Column, size: int, overlap: int) -> Column:
     def windows(b: Column) -> Column:
         n = (F.size(b) - 1) * stride + F.size(tx.words(F.element_at(b, F.lit(-1))))
         last = F.ceil(F.greatest(n - size, F.lit(0)) / stride).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda at: window(at, b))
+        return F.flatten(F.transform(F.array(starts(b)), lambda s: F.transform(F.sequence(F.lit(0), last), lambda at: window(at, b, s))))
 
     bound = F.transform(F.filter(F.array(blocks), lambda b: F.size(b) > 0), windows)
     return F.flatten(bound)

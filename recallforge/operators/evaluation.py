@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallforge.operators.ordered import with_percentiles
+
 
 def span_judgements(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks that cover any part of an answer's span: [start, end) overlaps [start, end).
@@ -83,7 +85,5 @@ def average(metrics: DataFrame, questions: DataFrame | None = None) -> DataFrame
 
 def latency(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median (interpolated), p95 (nearest rank) and max of each key."""
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("p50"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.max(value).alias("max"),
-    )
+    found = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_percentiles(found, rows, keys, value)

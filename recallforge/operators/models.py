@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallforge.functions import text as tx
+from recallforge.session import cut_lineage
 from recallforge.sources.files import Cache
 
 #: Labels that judges may give.
@@ -37,7 +38,8 @@ def call(requests: DataFrame, model: Callable[[list[str]], list[str]], cache: Ca
         for b in batches:
             yield b[["key"]].assign(value=model(b["prompt"].tolist()))
 
-    replies = new.mapInPandas(run, "key string, value string")
+    # written once: else every look at the replies would ask the model again
+    replies = cut_lineage(new.mapInPandas(run, "key string, value string"))
     if cache is None or fresh:
         return replies
     cache.put(replies)

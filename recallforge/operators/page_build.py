@@ -38,7 +38,10 @@ class Text:
 
 
 class Builder:
-    """Open parts of a page: at most one of cell, heading and block takes words, in this order."""
+    """Open parts of a page: at most one of cell, heading and block takes words, in this order.
+
+    ``ACTIONS`` says what each tag does when it opens and when it closes.
+    """
 
     def __init__(self, dropped):
         self.dropped = {s.casefold() for s in dropped}
@@ -60,41 +63,56 @@ class Builder:
             self.block = None
 
     def word(self, index, word, touches):
-        for part in (self.cell, self.heading, self.block):
-            if part is not None:
-                part.add(index, word, touches)
-                return
+        part = next((p for p in (self.cell, self.heading, self.block) if p is not None), None)
+        if part is not None:
+            part.add(index, word, touches)
 
     def tag(self, name, closing):
-        if name in HEADINGS:
-            if not closing:
-                self.close_block()
-                self.heading = Text()
-            elif self.heading is not None:
-                found, self.heading = self.heading, None
-                self.section = "" if name == "H1" else found.text
-                self.emit("heading", self.section, found.text, found.spans)
-        elif name == "TABLE":
-            self.depth = self.depth + 1 if not closing else max(0, self.depth - 1)
-            if not closing and self.depth == 1:
-                self.close_block()
-                self.table = {"section": self.section, "rows": [], "row": [], "caption": ""}
-            elif closing and self.depth == 0 and self.table is not None:
-                self.close_row()
-                self.close_table()
-        elif self.table is not None and name in CELLS | {"CAPTION"} and not closing:
+        if action := ACTIONS.get((name, closing)):
+            action(self, name)
+
+    def begin_heading(self, name):
+        self.close_block()
+        self.heading = Text()
+
+    def end_heading(self, name):
+        found, self.heading = self.heading, None
+        if found is not None:
+            self.section = "" if name == "H1" else found.text
+            self.emit("heading", self.section, found.text, found.spans)
+
+    def begin_block(self, name):
+        self.close_block()
+        self.block, self.kind, self.block_section = Text(), OPENERS[name], self.section
+
+    def begin_table(self, name):
+        self.depth += 1
+        if self.depth == 1:
+            self.close_block()
+            self.table = {"section": self.section, "rows": [], "row": [], "caption": ""}
+
+    def end_table(self, name):
+        self.depth = max(0, self.depth - 1)
+        if self.depth == 0 and self.table is not None:
+            self.close_row()
+            self.close_table()
+
+    def begin_cell(self, name):
+        if self.table is not None:
             self.cell, self.cell_header = Text(), name == "TH"
-        elif name in CELLS and closing and self.cell is not None:
-            if self.table is not None:
-                self.table["row"].append((self.cell_header, self.cell))
-            self.cell = None
-        elif name == "CAPTION" and closing and self.table is not None and self.cell is not None:
+
+    def end_cell(self, name):
+        found, self.cell = self.cell, None
+        if found is not None and self.table is not None:
+            self.table["row"].append((self.cell_header, found))
+
+    def end_caption(self, name):
+        if self.table is not None and self.cell is not None:
             self.table["caption"], self.cell = self.cell.text, None
-        elif name == "TR" and closing and self.table is not None:
+
+    def end_row(self, name):
+        if self.table is not None:
             self.close_row()
-        elif name in OPENERS and not closing:
-            self.close_block()
-            self.block, self.kind, self.block_section = Text(), OPENERS[name], self.section
 
     def close_row(self):
         if self.table["row"]:
@@ -120,6 +138,19 @@ class Builder:
         self.emit("table", table["section"], text, spans, table["caption"], labels, [[c.text for _, c in row] for row in rows])
 
 
+ACTIONS = {
+    **{(h, False): Builder.begin_heading for h in HEADINGS},
+    **{(h, True): Builder.end_heading for h in HEADINGS},
+    **{(o, False): Builder.begin_block for o in OPENERS},
+    **{(c, False): Builder.begin_cell for c in (*CELLS, "CAPTION")},
+    **{(c, True): Builder.end_cell for c in CELLS},
+    ("CAPTION", True): Builder.end_caption,
+    ("TABLE", False): Builder.begin_table,
+    ("TABLE", True): Builder.end_table,
+    ("TR", True): Builder.end_row,
+}
+
+
 def build(tokens, dropped=BOILERPLATE_SECTIONS) -> Builder:
     """Fold (token, is_html, start_byte, end_byte) tuples. Words outside any open part are lost, as
     are headings and tables that never close."""

@@ -70,6 +70,14 @@ def markdown_lines(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.select("place", F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |")).alias("line"))
 
 
+def markdown(rows: list[dict], columns: list[str]) -> list[str]:
+    """Lines of a small table; numbers with three decimals, null as nothing."""
+    def cell(x: object) -> str:
+        return "" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
+
+    return [f"| {' | '.join(columns)} |", "|" + "---|" * len(columns), *(f"| {' | '.join(cell(r[c]) for c in columns)} |" for r in rows)]
+
+
 def browse(rows: DataFrame, contains: str = "", answer_type: str | None = None, found: bool | None = None, page: int = 0, size: int = 50) -> DataFrame:
     """One page of questions by substring whatever the case, type and whether they were found."""
     if contains:
@@ -103,3 +111,20 @@ def ablation(first: DataFrame, second: DataFrame) -> DataFrame:
         return [F.avg(F.col(r).isNotNull().cast("int")).alias(f"hit_{r[1]}"), F.avg(F.coalesce(1 / F.col(r), F.lit(0.0))).alias(f"rr_{r[1]}")]
 
     return both.agg(F.count("*").alias("n"), *of("ra"), *of("rb"))
+
+
+def writer_comparison(first: DataFrame, second: DataFrame, questions: DataFrame, answer_type: str = "table") -> DataFrame:
+    """(measure, question_id, a, b, diff): two writers' verdicts on the questions of a type that both
+    answered: contains, declined, correct and supported, each 0 or 1. ``first`` and ``second`` have
+    question_id, contains, declined, correctness and groundedness. Aggregate with ``stats.compare``."""
+    def measures(rows: DataFrame, name: str) -> DataFrame:
+        told = {
+            "contains": F.col("contains"), "declined": F.col("declined"),
+            "correct": F.coalesce(F.col("correctness") == "correct", F.lit(False)), "supported": F.coalesce(F.col("groundedness") == "supported", F.lit(False)),
+        }
+        listed = F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("int").alias(name)) for m, v in told.items()])
+        return rows.select("question_id", F.inline(listed))
+
+    chosen = questions.where(F.col("answer_type") == answer_type).select("question_id")
+    both = measures(first, "a").join(measures(second, "b"), ["question_id", "measure"]).join(chosen, "question_id", "left_semi")
+    return both.select("measure", "question_id", "a", "b", (F.col("a") - F.col("b")).alias("diff"))

@@ -255,3 +255,36 @@ def encode_missing(texts: DataFrame, known: DataFrame | None, encoder=hashing_en
             yield pd.DataFrame({"text_key": b["text_key"], "vector": list(encoder(b["text"].tolist()).astype("float16").astype("float32"))})
 
     return misses.where("text IS NOT NULL").mapInPandas(run, "text_key string, vector array<float>")
+
+
+#: Encoders and scorers by name; callers register trained ones.
+ENCODERS: dict[str, Callable] = {"hashing": hashing_encoder}
+SCORERS: dict[str, Callable] = {"shared-words": lambda q, p: [shared_words(a, b) for a, b in zip(q, p, strict=True)]}
+
+
+def named(registry: dict[str, Callable], name: str) -> Callable:
+    """The model of a name; another name raises and lists those that are known."""
+    if name not in registry:
+        raise KeyError(f"unknown model {name!r}; known: {', '.join(sorted(registry))}")
+    return registry[name]
+
+
+class LiveSearch:
+    """Answers one question at a time from indexes that were written once, one for each setup."""
+
+    def __init__(self, indexes: dict[str, DataFrame], chunks: DataFrame):
+        self.indexes, self.chunks = indexes, chunks
+
+    def __call__(self, setup: str, question: str, depth: int = 10) -> DataFrame:
+        """(rank, chunk_id, page_id, score, heading, body) of the best passages; an unknown setup raises.
+        Only postings of the question's terms are read, and the texts of what is shown."""
+        if setup not in self.indexes:
+            raise KeyError(f"unknown setup {setup!r}; known: {', '.join(sorted(self.indexes))}")
+        spark = self.chunks.sparkSession
+        terms = query_terms(spark.createDataFrame([("q", question)], "question_id string, question string"))
+        asked = [(r.term, r.qtf) for r in terms.collect()]  # the words of one question
+        index = self.indexes[setup].where(F.col("term").isin([t for t, _ in asked]))
+        known = spark.createDataFrame([("q", *t) for t in asked], "question_id string, term string, qtf bigint")
+        best = rank(bm25_scores(index, F.broadcast(known)), depth, positive_only=True)
+        shown = self.chunks.join(F.broadcast(best), ["chunk_id", "page_id"])
+        return shown.select("rank", "chunk_id", "page_id", "score", tx.heading(F.col("text")).alias("heading"), tx.body(F.col("text")).alias("body")).orderBy("rank")

@@ -30,8 +30,9 @@ def quotas(rows: DataFrame, stratum: str, size: int) -> DataFrame:
 def stratified(rows: DataFrame, stratum: str, id_col: str, size: int, seed: int = 1) -> DataFrame:
     """A sample with the quotas of each stratum, drawn by hash."""
     order = Window.partitionBy(stratum).orderBy(draw_key(F.col(id_col), seed), id_col)
-    quota = quotas(rows, stratum, size).withColumnRenamed(stratum, "_s").select("_s", "quota")
-    numbered = rows.withColumn("_at", F.row_number().over(order))
+    # at most ``size`` strata have a quota, and no stratum needs more rows than that
+    quota = quotas(rows, stratum, size).where("quota > 0").withColumnRenamed(stratum, "_s").select("_s", "quota")
+    numbered = rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= size)
     return numbered.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).where("_at <= quota").drop("_at", "_s", "quota")
 
 

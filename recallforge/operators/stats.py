@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallforge.operators.ordered import running
+
 TRIALS, BATCH = 10_000, 500
 
 
@@ -139,7 +141,6 @@ def roc_auc(rows: DataFrame, score: str, positive: str, keys: list[str] | None =
     counted = rows.where(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*keys, F.col(score).alias("s")).agg(
         F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q")
     )
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counted.withColumn("won", F.col("p") * (below + F.col("q") / 2.0))
+    won = running(counted, keys, ["s"], upto="q").withColumn("won", F.col("p") * (F.col("upto") - F.col("q") / 2.0))
     sums = won.groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("won").alias("won"))
     return sums.select(*keys, "positives", "negatives", F.try_divide(F.col("won"), F.col("positives").cast("double") * F.col("negatives")).alias("auc"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from recallforge.functions import text as tx
 from recallforge.operators import answers as an
-from recallforge.operators import chunking, corpus, models, report, retrieval, sampling, stats
+from recallforge.operators import chunking, corpus, models, page_build, report, retrieval, sampling, stats
 from recallforge.operators import evaluation as ev
-from recallforge.plans import config, grid, sql
+from recallforge.plans import build, config, grid, sql
 from recallforge.session import cut_lineage
 from recallforge.sources.tables import table
 
@@ -160,6 +160,55 @@ def section_groups(spark, sf):
     return grouped.groupBy("record_id", "section_group").agg(F.min("b.section").alias("section"), F.count("*").alias("blocks"), F.min("b.start").alias("start"), F.max("b.end").alias("end"))
 
 
+def _token_rows(spark, sf):
+    """page_records as dataset rows: blocks as streams of tags and words, two annotators who take the
+    first block with words as their answer."""
+    blocks = table(spark, sf, "page_records", "record_id", "page_id", "blocks").select(
+        "record_id", corpus.key_of(F.col("page_id")).alias("title"),
+        F.coalesce(F.filter(F.transform("blocks", lambda b: tx.words(F.coalesce(b["text"], F.lit("")))), lambda w: F.size(w) > 0), F.array().cast("array<array<string>>")).alias("w"),
+    )
+    tokens = F.flatten(F.transform("w", lambda w: F.concat(F.array(F.lit("<P>")), w, F.array(F.lit("</P>")))))
+    is_html = F.flatten(F.transform("w", lambda w: F.concat(F.array(F.lit(True)), F.transform(w, lambda x: F.lit(False)), F.array(F.lit(True)))))
+    first = F.get("w", F.lit(0))
+    long = F.when(first.isNull(), F.struct(F.lit(-1).alias("start_token"), F.lit(-1).alias("end_token"), F.lit(-1).alias("candidate_index")))
+    long = long.otherwise(F.struct(F.lit(0).alias("start_token"), (F.size(first) + 2).alias("end_token"), F.lit(0).alias("candidate_index")))
+    short = F.struct(F.coalesce(F.slice(first, 1, 1), F.array().cast("array<string>")).alias("text"))
+    placed = blocks.select("record_id", "title", "w", tokens.alias("token"), is_html.alias("is_html"))
+    at = F.transform("token", lambda x, i: (i * 10).cast("int"))
+    return placed.select(
+        F.lit("records").alias("file"), F.col("record_id").alias("row_index"),
+        F.struct("title", F.concat(F.lit("u"), F.col("record_id")).alias("url"), F.struct("token", "is_html", at.alias("start_byte"), F.transform(at, lambda x: x + 5).alias("end_byte")).alias("tokens")).alias("document"),
+        F.struct(F.concat(F.lit("what is "), "title").alias("text")).alias("question"),
+        F.struct(F.array(long, long).alias("long_answer"), F.array(short, short).alias("short_answers")).alias("annotations"),
+    )
+
+
+BLOCK_TEXTS = f"""bw AS (SELECT record_id, {sql.key_of('page_id')} AS title, list_filter(list_transform(coalesce(blocks, []), lambda b: array_to_string({sql.words("coalesce(b.text, '')")}, ' ')), lambda t: t <> '') AS texts FROM page_records),
+built AS (SELECT *, array_to_string(texts, chr(10) || chr(10)) AS text, len({sql.words("array_to_string(texts, ' ')")}) AS words FROM bw)"""
+
+
+@query(f"WITH {BLOCK_TEXTS} SELECT record_id, md5(text) AS text_md5, len(texts) AS blocks, words AS content_tokens, words AS mapped FROM built", INTEGER="blocks content_tokens mapped")
+def pages_from_tokens(spark, sf):
+    rows = _token_rows(spark, sf).select(
+        F.col("row_index").cast("string").alias("page_id"), "document.title", "document.url",
+        *[F.col(f"document.tokens.{c}").alias(c) for c in ("token", "is_html", "start_byte", "end_byte")],
+    )
+    built = page_build.build_pages(rows.withColumn("stream", page_build.stream_of("token", "is_html", "start_byte", "end_byte")))
+    return built.select(
+        F.col("page_id").cast("bigint").alias("record_id"), F.md5("text").alias("text_md5"), F.size("blocks").alias("blocks"), "content_tokens",
+        F.size(F.filter("token_spans", lambda s: s.isNotNull())).alias("mapped"),
+    )
+
+
+@query(f"""WITH {BLOCK_TEXTS}, placed AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY words DESC, record_id) = 1 AS kept FROM built WHERE title IS NOT NULL),
+told AS (SELECT a.*, instr(k.text, a.texts[1]) AS found FROM placed a JOIN placed k ON a.title = k.title AND k.kept WHERE len(a.texts) > 0)
+SELECT (SELECT count(*) FROM built) AS "rows", (SELECT count(*) FROM built WHERE len(texts) = 0) AS without_agreed_answer, (SELECT count(*) FROM placed WHERE kept) AS pages,
+(SELECT sum(words) FROM placed WHERE kept) AS words, (SELECT sum(words) FROM placed WHERE kept) AS content_tokens, (SELECT sum(words) FROM placed WHERE kept) AS mapped_tokens,
+count(*) FILTER (kept) AS own, count(*) FILTER (NOT kept AND found > 0) AS relocated, count(*) FILTER (NOT kept AND found = 0) AS not_relocatable, 0 AS dropped_span FROM told""", BIGINT="words content_tokens mapped_tokens dropped_span")
+def corpus_counters(spark, sf):
+    return build.build_corpus(_token_rows(spark, sf))["counters"]
+
+
 # Chunks
 
 
@@ -502,20 +551,44 @@ scored AS (SELECT answer_id, setup, question_id, gone AS declined, CASE WHEN gon
   CASE WHEN NOT gone THEN CASE WHEN len(fresh) = 0 THEN 1.0 ELSE round(len(list_filter(fresh, lambda x: list_contains(p, x))) / len(fresh), 9) END END AS lexical FROM new)"""
 
 
-def _scored(spark, sf):
-    return an.scored(table(spark, sf, "answers", "answer_id", "setup", "question_id", "question", "text", "declined", "passages"), _asked(spark, sf))
+def _scored(spark, sf, stemmed=False):
+    rows, asked = table(spark, sf, "answers", "answer_id", "setup", "question_id", "question", "text", "declined", "passages"), _asked(spark, sf)
+    texts = [rows.select(F.col(c).alias("text")) for c in ("question", "text")] + [rows.select(F.explode("passages").alias("text"))]
+    return an.scored(rows, asked, config.stems_of(*texts) if stemmed else None)
 
 
 @query(f"WITH {SCORED} SELECT answer_id, setup, question_id, declined, contains, round(lexical, 6) AS lexical FROM scored")
-def scored_answers(spark, sf):
+def answer_containment(spark, sf):
+    """Whether answers contain a reference; words are compared as they stand."""
     return _scored(spark, sf).withColumn("lexical", F.round("lexical", 6))
 
 
-@query(f"""WITH {SCORED} SELECT setup, count(*) AS answers, round(count(*) FILTER (contains) / count(*), 6) AS correct, round(count(*) FILTER (declined) / count(*), 6) AS declined,
-round(coalesce(count(*) FILTER (lexical >= 1.0) / nullif(count(*) FILTER (NOT declined), 0), 0), 6) AS supported, round(avg(lexical), 6) AS lexical_mean FROM scored GROUP BY setup""")
+@query()
+def scored_answers(spark, sf):
+    return _scored(spark, sf, stemmed=True)
+
+
+@query(f"""WITH {SCORED} SELECT setup, count(*) AS answers, round(count(*) FILTER (contains) / count(*), 6) AS correct, round(count(*) FILTER (declined) / count(*), 6) AS declined FROM scored GROUP BY setup""")
 def setup_summary(spark, sf):
     found = an.setup_summary(_scored(spark, sf))
-    return found.select("setup", "answers", *[F.round(c, 6).alias(c) for c in ("correct", "declined", "supported", "lexical_mean")])
+    return found.select("setup", "answers", *[F.round(c, 6).alias(c) for c in ("correct", "declined")])
+
+
+@query()
+def setup_support(spark, sf):
+    return an.setup_summary(_scored(spark, sf, stemmed=True)).select("setup", "supported", "lexical_mean")
+
+
+@query(f"""WITH {SCORED}, r AS (SELECT contains AS truth, lexical >= 1 AS said, lexical FROM scored WHERE NOT declined AND lexical IS NOT NULL),
+c AS (SELECT count(*) AS n, avg(CAST(truth = said AS INT)) AS po, avg(CAST(truth AS INT)) AS t, avg(CAST(said AS INT)) AS s, count(*) FILTER (NOT truth) AS flagged, count(*) FILTER (NOT truth AND NOT said) AS caught FROM r),
+e AS (SELECT *, t * s + (1 - t) * (1 - s) AS pe FROM c),
+m AS (SELECT truth, rank() OVER (ORDER BY lexical) + (count(*) OVER (PARTITION BY lexical) - 1) / 2.0 AS k FROM r), a AS (SELECT count(*) FILTER (truth) AS p, count(*) FILTER (NOT truth) AS q, sum(k) FILTER (truth) AS w FROM m)
+SELECT 'lexical' AS "check", n AS items, round(po, 6) AS observed, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa, round((w - p * (p + 1) / 2.0) / (p * q), 6) AS auc, flagged, caught FROM e, a""")
+def baseline_agreement(spark, sf):
+    """The word-overlap baseline against a stand-in judge: an answer with a reference is supported."""
+    rows = _scored(spark, sf).withColumns({"groundedness": F.when(F.col("contains"), "supported").otherwise("unsupported"), "nli": F.lit(None).cast("double")})
+    found = an.baseline_agreement(rows)
+    return found.select("check", "items", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa", "auc")], "flagged", "caught")
 
 
 @query(f"""WITH {SCORED}, v AS (SELECT s.answer_id, s.setup, s.contains AS verdict, coalesce(a.declined, false) AS mark FROM scored s JOIN answers a USING (answer_id)) SELECT answer_id, setup, mark AS label, verdict FROM v WHERE mark IS DISTINCT FROM (NOT verdict)""")

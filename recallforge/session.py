@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,14 @@ def local_session(cores: str = "*", app: str = "recallforge") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where neither that
-    setting nor the context has one (local tests) is a temporary folder set.
-    """
+    """The checkpoint folder of the session: the context's, else the one that
+    ``spark.checkpoint.dir`` names. Only where there is neither and the master is this machine
+    (tests) is a temporary folder set; on a cluster that raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="recallforge-"))
     return context.getCheckpointDir()
 

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Schemas of built corpora, answers, verdicts and labels.
 SCHEMAS = {
@@ -20,30 +21,39 @@ SCHEMAS = {
 
 
 def read_jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """JSON lines, gzipped or not, of a known kind; a line of another shape raises when read.
-    Blank lines are skipped. Types are never inferred."""
-    return spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST").json(path)
+    """JSON lines, gzipped or not, of a known kind; a line of another shape raises when read, as does
+    one that lacks a key: the error names the file and the keys. Blank lines are skipped. Types are
+    never inferred."""
+    names = [f.name for f in StructType.fromDDL(SCHEMAS[kind]).fields]
+    lines = spark.read.text(path).where("length(trim(value)) > 0").select("value", F.col("_metadata.file_name").alias("file"))
+    lacking = F.array_except(F.array(*map(F.lit, names)), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))
+    parsed = F.from_json("value", SCHEMAS[kind], {"mode": "FAILFAST"})
+    whole = F.when(F.size(lacking) == 0, parsed).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(": malformed, a line lacks "), F.array_join(lacking, ", "))))
+    return lines.select(whole.alias("row")).select("row.*")
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None, one_file: bool = False) -> None:
     """Gzipped JSON lines; refuses to overwrite. The folder appears whole or not at all."""
     if one_file:
         df = df.coalesce(1)
-    (df.sortWithinPartitions(*order) if order else df).write.mode("errorifexists").option("compression", "gzip").json(path)
+    (df.sortWithinPartitions(*order) if order else df).write.mode("errorifexists").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
 def copy_lines(spark: SparkSession, source: str, target: str, field: str, keep: DataFrame) -> None:
-    """Lines of ``source`` whose ``field`` is in ``keep`` (value), byte for byte."""
-    lines = spark.read.text(source).withColumn("_v", F.get_json_object("value", f"$.{field}"))
+    """Lines of ``source`` whose ``field`` is in ``keep`` (value), byte for byte and in their order: by
+    file and place in it."""
+    lines = spark.read.text(source).select("value", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.withColumn("_v", F.get_json_object("value", f"$.{field}"))
     kept = lines.join(keep.select(F.col("value").alias("_v")).distinct(), "_v", "left_semi")
-    kept.select("value").write.mode("errorifexists").option("compression", "gzip").text(target)
+    kept.orderBy("_f", "_at").select("value").write.mode("errorifexists").option("compression", "gzip").text(target)
 
 
 def read_trec(spark: SparkSession, path: str, depth: int) -> DataFrame:
-    """(question_id, rank, chunk_id, score, tag) of a run file, ranks of at most ``depth``; lines
-    that are not six columns are left out."""
+    """(question_id, rank, chunk_id, score, tag) of a run file, ranks of at most ``depth``; a line
+    that is not six columns raises. Blank lines are skipped."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(parts.alias("p")).where(F.size("p") == 6)
+    six = F.when(F.size(parts) == 6, parts).otherwise(F.raise_error(F.concat(F.lit("not six columns: "), "value")))
+    rows = spark.read.text(path).where("length(trim(value)) > 0").select(six.alias("p"))
     return rows.select(
         F.col("p")[0].alias("question_id"), F.col("p")[3].cast("int").alias("rank"), F.col("p")[2].alias("chunk_id"), F.col("p")[4].cast("double").alias("score"), F.col("p")[5].alias("tag")
     ).where(F.col("rank") <= depth)

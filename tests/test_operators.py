@@ -1,5 +1,8 @@
 """Values worked by hand."""
 
+import datetime as dt
+import json
+import logging
 import math
 
 import numpy as np
@@ -8,9 +11,9 @@ from pyspark.sql import functions as F
 
 from recallforge.functions import sentences, stem
 from recallforge.functions import text as tx
-from recallforge.operators import answers, chunking, corpus, models, page_build, report, retrieval, sampling, stats
+from recallforge.operators import answers, chunking, corpus, models, ordered, page_build, report, retrieval, sampling, stats
 from recallforge.operators import evaluation as ev
-from recallforge.plans import config, grid, queries
+from recallforge.plans import artefacts, build, config, grid, queries
 from recallforge.sources import files
 from recallforge.streaming import caches
 
@@ -253,3 +256,132 @@ def test_headline_can_count_an_improvement(spark, improved):
 def test_setups_are_compared_by_all_trials(spark, improved):
     found = queries.QUERIES["compare_setups"](spark, improved).collect()
     assert len(found) == 15 and all(r.p_value < 1 / 2_001 for r in found)
+
+
+def test_corpus_of_dataset_rows(spark):
+    """Two revisions of Dublin, the longer one kept; an answer that moved, one that is gone, a table."""
+    def row(n, title, source, answer, spare=False):
+        tokens, at = [], 0
+        for word in source.split():
+            glued = word.startswith("~")
+            word = word.removeprefix("~")
+            at += 0 if glued else 1
+            tokens.append((word, word.startswith("<"), at, at + len(word)))
+            at += len(word)
+        first = tokens.index(next(t for t in tokens if t[0] == answer[0])) - 1
+        long = [{"start_token": first, "end_token": first + answer[1], "candidate_index": 0}] * 2 + [{"start_token": -1, "end_token": -1, "candidate_index": -1}]
+        short = [{"text": [answer[0]]}] * 2 + [{"text": []}]
+        if spare:
+            long, short = long[2:], short[2:]
+        columns = [list(x) for x in zip(*tokens)]
+        return ("f", n, {"title": title, "url": f"u{n}", "tokens": dict(zip(("token", "is_html", "start_byte", "end_byte"), columns))}, {"text": f"q{n}?"}, {"long_answer": long, "short_answers": short})
+
+    long = "<H1> Dublin </H1> <P> Dublin is in Ireland ~. </P> <H2> History </H2> <P> Founded in 841 ~. </P> <H2> References </H2> <P> gone </P>"
+    rows = [
+        row(0, "Dublin", long, ("Founded", 6)),
+        row(1, "Dublin", "<P> Founded in 841 ~. </P>", ("Founded", 6)),
+        row(2, "Dublin", "<P> Another town ~. </P>", ("Another", 5)),
+        row(3, "Dublin", "<H2> Notes </H2> <P> lost words </P>", ("lost", 4)),
+        row(4, "Paris", "<TABLE> <TR> <TD> Paris </TD> </TR> </TABLE>", ("Paris", 3)),
+        row(5, "Rome", "<P> Rome </P>", ("Rome", 3), True),
+    ]
+    schema = """file string, row_index bigint, document struct<title:string,url:string,tokens:struct<token:array<string>,is_html:array<boolean>,start_byte:array<int>,end_byte:array<int>>>,
+        question struct<text:string>, annotations struct<long_answer:array<struct<start_token:int,end_token:int,candidate_index:int>>,short_answers:array<struct<text:array<string>>>>"""
+    found = build.build_corpus(spark.createDataFrame(rows, schema))
+    counters = found["counters"].first().asDict()
+    assert {k: counters[k] for k in ("rows", "without_agreed_answer", "pages", "own", "relocated", "not_relocatable", "dropped_span")} == {
+        "rows": 6, "without_agreed_answer": 1, "pages": 3, "own": 2, "relocated": 1, "not_relocatable": 1, "dropped_span": 1,
+    }
+    text = {r.title: r.text for r in found["pages"].collect()}
+    assert text == {"Dublin": "Dublin\n\nDublin is in Ireland.\n\nHistory\n\nFounded in 841.", "Paris": "Paris", "Rome": "Rome"}
+    asked = {r.question_id: r for r in found["questions"].collect()}
+    assert set(asked) == {"f#0", "f#1", "f#4"} and text["Dublin"][asked["f#1"].answer_start : asked["f#1"].answer_end] == "Founded in 841."
+
+
+def test_ordered_sums_and_percentiles(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v), i) for i, (k, v) in enumerate(zip(rng.choice(["a", "b", None], 500), rng.integers(0, 40, 500)))] + [("c", None, 500)]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    told = {r.i: r.s for r in ordered.running(df.where("v IS NOT NULL"), ["k"], ["i"], s="v").collect()}
+    sums = {}
+    for k, v, i in rows[:-1]:
+        sums[k] = sums.get(k, 0) + v
+        assert told[i] == sums[k]
+    found = {r.k: r for r in ordered.percentiles(df, ["k"], "v", mid=(0.5, True), high=(0.95, False)).collect()}
+    for key in ("a", "b", None):
+        values = sorted(v for k, v, _ in rows[:-1] if k == key)
+        assert found[key].mid == np.quantile(values, 0.5) and found[key].high == values[math.ceil(0.95 * len(values)) - 1]
+    assert "c" not in found and ordered.running(df.where("false"), ["k"], ["i"], s="v").count() == 0
+
+
+def test_runs_are_published_and_read(spark, tmp_path):
+    averages = spark.createDataFrame([("passage", "all", "ndcg@10", 0.5)], "level string, answer_type string, metric string, value double")
+    start = dt.datetime(2025, 1, 2, 3, 4, 5, tzinfo=dt.UTC)
+    for day, commit in ((0, "c1"), (1, "c1")):
+        made = artefacts.document("experiment", grid.setup("fixed", "bm25", False), start + dt.timedelta(days=day), start, commit, "d" * 64, averages=averages)
+        path = artefacts.publish(str(tmp_path / "runs"), made, {"rows": averages})
+    assert path.name == "20250103T030405Z-dddddddddddd" and spark.read.json(str(path / "rows")).count() == 1
+    with pytest.raises(FileExistsError):
+        artefacts.publish(str(tmp_path / "runs"), made)
+    runs = artefacts.load_runs(spark, str(tmp_path / "runs")).collect()
+    assert [(r.setup, r.value, r.started[:10]) for r in runs] == [("fixed-bm25", 0.5, "2025-01-03")]
+    other = artefacts.document("experiment", grid.setup("fixed", "minilm", False), start, start, "c2", "e" * 64, averages=averages)
+    artefacts.publish(str(tmp_path / "runs"), other)
+    with pytest.raises(ValueError):
+        artefacts.load_runs(spark, str(tmp_path / "runs"))
+    base = str(tmp_path / "baseline.json")
+    measured = spark.createDataFrame([("s", "m", 0.5)], "setup string, metric string, value double")
+    artefacts.record_baseline(base, measured, 0.1)
+    artefacts.record_baseline(base, measured.withColumn("value", F.lit(0.7)))
+    assert artefacts.read_baseline(spark, base).collect()[0][2:] == (0.7, 0.1)
+    made, text = artefacts.assemble("Report", {"Means": averages, "Absent": None, "Empty": averages.where("false")}, {"Means": "Higher is better."})
+    assert "Absent" not in made and "| passage | all | ndcg@10 | 0.500 |" in text and "No rows." in text
+    labels, known = str(tmp_path / "labels.jsonl"), {}
+    assert artefacts.append_label(labels, "shown", {"setup": "s", "question_id": "q", "label": "supported"}, known)
+    assert not artefacts.append_label(labels, "shown", {"setup": "s", "question_id": "q", "label": "partial"}, known)
+    with pytest.raises(ValueError):
+        artefacts.append_label(labels, "other", {"setup": "s", "question_id": "q", "label": "partial"}, known)
+    record = logging.makeLogRecord({"msg": "done %s", "args": ("x",), "setup": "s", "levelname": "INFO"})
+    assert json.loads(artefacts.JsonLines().format(record))["setup"] == "s"
+
+
+def test_agreement_and_scoring(spark):
+    rows = spark.createDataFrame(
+        [("s", "q1", "supported", 0.9, 1.0, False), ("s", "q2", "partial", 0.2, 0.5, False), ("s", "q3", "supported", 0.8, 0.4, False), ("s", "q4", None, None, None, True)],
+        "setup string, question_id string, groundedness string, nli double, lexical double, declined boolean",
+    )
+    found = {r.check: r for r in answers.baseline_agreement(rows).collect()}
+    assert found["nli"].kappa == 1.0 and found["nli"].auc == 1.0 and (found["lexical"].flagged, found["lexical"].caught) == (1, 1)
+    labels = spark.createDataFrame([("s", "q1", "supported"), ("s", "q2", "unsupported"), ("s", "q3", "supported")], "setup string, question_id string, label string")
+    found = {r.check: r for r in answers.human_agreement(labels, rows).collect()}
+    assert found["judge"].observed == pytest.approx(2 / 3) and found["judge"].auc is None and found["nli"].kappa == 1.0
+    with pytest.raises(ValueError):
+        answers.human_agreement(labels.withColumn("setup", F.lit("t")), rows)
+    said = spark.createDataFrame(
+        [("a1", "s", "q", "Where do rivers run?", "The rivers were running to lakes, flooding towns.", None, ["A river runs to a lake."]), ("a2", "s", "q", "x", "I don't know", None, None)],
+        "answer_id string, setup string, question_id string, question string, text string, declined boolean, passages array<string>",
+    )
+    references = spark.createDataFrame([("q", ["lakes"])], "question_id string, short_answers array<string>")
+    stems = config.stems_of(said.select("text"), said.select(F.col("question").alias("text")), said.select(F.explode("passages").alias("text")))
+    verdicts = spark.createDataFrame([("a1", "correct", "partial", 0.4, 0.01), ("a2", "correct", "supported", 0.9, 0.02)], "answer_id string, correctness string, groundedness string, nli double, cost double")
+    found = {r.answer_id: r for r in answers.scored(said, references, stems, verdicts).collect()}
+    # new stems: lake, flood, town, of which passages have lake
+    assert found["a1"].lexical == pytest.approx(1 / 3) and found["a1"].contains and found["a1"].correctness == "correct"
+    assert (found["a2"].lexical, found["a2"].groundedness, found["a2"].cost, found["a2"].contains) == (None, None, 0.0, False)
+    questions = spark.createDataFrame([("q1", "table"), ("q2", "list")], "question_id string, answer_type string")
+    judged = spark.createDataFrame([("q1", True, False, "correct", "supported"), ("q2", True, False, None, None)], "question_id string, contains boolean, declined boolean, correctness string, groundedness string")
+    compared = report.writer_comparison(judged, judged.withColumn("correctness", F.lit("incorrect")), questions).collect()
+    assert {r.measure: r["diff"] for r in compared} == {"contains": 0, "declined": 0, "correct": 1, "supported": 0}
+    calls = spark.createDataFrame([(str(i), 1.0) for i in range(40)], "key string, cost double")
+    assert len(answers.guarded(calls, lambda b: b, 4, 40, 100.0, after=5)) == 4
+    with pytest.raises(answers.OverBudget):
+        answers.guarded(calls, lambda b: b, 4, 40, 1.0, after=5)
+
+
+def test_live_search(spark):
+    chunks = spark.createDataFrame([("c1", "p", "Tea\ngreen tea"), ("c2", "p", "River\nthe river")], "chunk_id string, page_id string, text string")
+    search = retrieval.LiveSearch({"bm25": retrieval.postings(chunks)}, chunks)
+    assert [(r.rank, r.chunk_id, r.heading, r.body) for r in search("bm25", "where is tea").collect()] == [(1, "c1", "Tea", "green tea")]
+    for wrong in (lambda: search("none", "tea"), lambda: retrieval.named(retrieval.ENCODERS, "none")):
+        with pytest.raises(KeyError, match="known"):
+            wrong()
