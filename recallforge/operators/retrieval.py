@@ -257,6 +257,14 @@ def encode_missing(texts: DataFrame, known: DataFrame | None, encoder=hashing_en
     return misses.where("text IS NOT NULL").mapInPandas(run, "text_key string, vector array<float>")
 
 
+def encoded(rows: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarray], prefix: str = "") -> DataFrame:
+    """``rows`` with the ``vector`` of their text, each distinct text encoded once; ``prefix`` is the
+    instruction that a model wants before questions."""
+    texts = rows.withColumn("text", F.concat(F.lit(prefix), F.col(text_col)))
+    vectors = cut_lineage(encode_missing(texts, None, encoder))
+    return rows.withColumn("text_key", tx.digest(F.concat(F.lit(prefix), F.col(text_col)), 32)).join(vectors, "text_key").drop("text_key")
+
+
 #: Encoders and scorers by name; callers register trained ones.
 ENCODERS: dict[str, Callable] = {"hashing": hashing_encoder}
 SCORERS: dict[str, Callable] = {"shared-words": lambda q, p: [shared_words(a, b) for a, b in zip(q, p, strict=True)]}
