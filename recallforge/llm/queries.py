@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallforge.functions.text import normalise_answer
 from recallforge.llm import chunk, consensus, encode, garbled, language, pack, pairs, sketch, survivors
-from recallforge.plans.sql import words
+from recallforge.plans.sql import key_of, words
 from recallforge.session import cut_lineage
 from recallforge.sources.tables import table
 
@@ -62,6 +62,11 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivor_fields(records, survivors.survivors(records))
 
 
+def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that have a survivor, and of how many records."""
+    return survivors.survivors(table(spark, sf_dir, "page_records", *_PAGE)).select("page_key", "records")
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "dataset_rows", "id", "annotations").select(
         "id", F.explode(F.arrays_zip("annotations.id", "annotations.long_answer.candidate_index")).alias("x")
@@ -109,6 +114,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document's text as its ids decode to."""
+    return p6_ids(spark, sf_dir).select("doc_id", F.md5(encode.decode_ids(F.col("ids"))).alias("text_md5"))
+
+
+def p7_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each window the documents in its loads and the loads with more than its capacity."""
+    loads = cut_lineage(p7_loads(spark, sf_dir))
+    over = loads.groupBy("window_id", "load_id", "capacity").agg(F.sum("tokens").alias("tokens"))
+    over = over.groupBy("window_id", "capacity").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"))
+    return loads.where("part = 0").groupBy("window_id").agg(F.count("*").alias("documents")).join(over, "window_id").select("window_id", "capacity", "documents", "overfull")
+
+
 def p7_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The load of every document, or of each part of one larger than the capacity."""
     boxes = table(spark, sf_dir, "context_windows").select(F.col("window_id").alias("box"), "capacity")
@@ -137,18 +155,28 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_survivors": p4_survivors,
+        "p4_pages": p4_pages,
         "p5_found": p5_found,
         "p5_consensus": p5_consensus,
         "p5_annotators": p5_annotators,
         "p5_answers": p5_answers,
         "p6_ids": p6_ids,
+        "p6_round_trip": p6_round_trip,
         "p7_loads": p7_loads,
+        "p7_filled": p7_filled,
         "p8_found": p8_found,
         "p8_repaired": p8_repaired,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL of what can be told without the operator: which records are cut, which pages have a
+    survivor, that ids decode to their texts, and that every document is in loads that are not overfull."""
     return {
         "p1_found": f"SELECT config_id, record_id FROM chunking_configs JOIN page_records ON len({words('text')}) > size WHERE size >= 1 AND overlap >= 0 AND overlap < size",
+        "p4_pages": f"""WITH k AS (SELECT nullif({key_of('page_id')}, '') AS key, lower(trim(split_part(split_part(url, '?', 1), '#', 1))) AS base FROM page_records),
+u AS (SELECT base, min(key) AS of_url FROM k WHERE key IS NOT NULL AND base <> '' GROUP BY base), r AS (SELECT coalesce(key, of_url) AS key FROM k LEFT JOIN u ON k.key IS NULL AND k.base = u.base)
+SELECT key AS page_key, count(*) AS records FROM r WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1""",
+        "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+        "p7_filled": "SELECT window_id, CAST(capacity AS BIGINT) AS capacity, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull FROM context_windows WHERE capacity >= 1",
     }

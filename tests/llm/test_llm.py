@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 import regex
 import tiktoken
+from oracle import duck, rows_of
 from pyspark.sql import functions as F
 
 from recallforge.llm import chunk, consensus, encode, garbled, language, pack, pairs, sketch, survivors
-from recallforge.llm.queries import queries
+from recallforge.llm.queries import oracle_sql, queries
 from recallforge.llm.vocabulary import SPLIT_PATTERN, rank_file, read_ranks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,6 +30,14 @@ def test_queries_run(spark, name):
     assert found.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_rows_equal_sql(spark, name):
+    found = queries()[name](spark, FOLDER)
+    columns, rows = duck(FOLDER, oracle_sql()[name])
+    assert sorted(found.columns) == sorted(columns)
+    assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == rows_of(columns, rows)
+
+
 # 6 and 7
 
 
