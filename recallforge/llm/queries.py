@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallforge.functions.text import normalise_answer
 from recallforge.llm import chunk, consensus, encode, garbled, language, pack, pairs, sketch, survivors
 from recallforge.plans.sql import key_of, words
 from recallforge.session import cut_lineage
@@ -92,23 +91,6 @@ def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.annotators(consensus.reliabilities(_votes(spark, sf_dir)))
 
 
-def p5_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The yes-or-no answer (NONE, NO or YES as -1, 0, 1) and the short answer of every id on which
-    its annotators agree, like the candidates; a short answer is the annotator's first, its
-    spelling apart, and none is the empty text."""
-    rows = table(spark, sf_dir, "dataset_rows", "id", "annotations")
-    parts = []
-    for kind, label in (
-        ("yes_no", F.transform("annotations.yes_no_answer", lambda x: x.cast("string"))),
-        ("short", F.transform("annotations.short_answers", lambda x: F.coalesce(normalise_answer(F.try_element_at(x["text"], F.lit(1))), F.lit("")))),
-    ):
-        flat = rows.select("id", F.explode(F.arrays_zip(F.col("annotations.id").alias("a"), label.alias("l"))).alias("x"))
-        voted = cut_lineage(consensus.votes(flat.select("id", F.col("x.a").alias("annotator"), F.col("x.l").alias("label")), "id", "annotator", "label"))
-        found = consensus.consensus(voted, consensus.reliabilities(voted))
-        parts.append(found.select(F.col("item").alias("id"), F.lit(kind).alias("kind"), "label", "support", "agreement", "votes"))
-    return parts[0].unionByName(parts[1])
-
-
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -159,7 +141,6 @@ def queries() -> dict:
         "p5_found": p5_found,
         "p5_consensus": p5_consensus,
         "p5_annotators": p5_annotators,
-        "p5_answers": p5_answers,
         "p6_ids": p6_ids,
         "p6_round_trip": p6_round_trip,
         "p7_loads": p7_loads,
