@@ -11,19 +11,28 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallforge.functions import text as tx
 from recallforge.session import cut_lineage
 
-#: Questions scored in one pass over the index.
-QUESTION_BLOCK = 20_000
-#: Query vectors scored in one pass, and chunks in a part of the index.
-VECTOR_BLOCK, PART_CHUNKS = 4_096, 20_000
+#: Questions ranked in one pass over the index, and hash buckets that blocks of them are made of.
+QUESTION_BLOCK, BUCKETS = 20_000, 4_096
+#: Chunks in a row of the packed index, and postings that a task holds at once.
+SEGMENT, PART_POSTINGS = 4_000, 8_000_000
+#: A term is common if more than one of so many chunks has it.
+COMMON = 40
+#: Query vectors scored in one pass.
+VECTOR_BLOCK = 4_096
+PACKED = "n bigint, known bigint, total bigint, ids array<string>, pages array<string>, lengths binary, codes binary, counts binary, rows binary, tf binary"
+RANKED = "question_id string, rank int, chunk_id string, page_id string, score double"
 CANDIDATES = "question_id string, chunk_id string, page_id string, score double"
 
 
@@ -72,25 +81,112 @@ def rank(scores: DataFrame, depth: int, positive_only: bool = False) -> DataFram
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).select("question_id", "rank", "chunk_id", "page_id", "score")
 
 
-def bm25_search(chunks: DataFrame, questions: DataFrame, depth: int = 100, k1: float = 0.9, b: float = 0.4, stems: DataFrame | None = None) -> DataFrame:
-    """The BM25 ranking of every question, as ``rank(bm25_scores(...))`` gives it.
+def bm25_search(
+    chunks: DataFrame, questions: DataFrame, depth: int = 100, k1: float = 0.9, b: float = 0.4, stemmer: Callable[[str], str] | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """The BM25 ranking of every question, as ``rank(bm25_scores(...))`` gives it; ``stemmer`` is put to
+    every term of chunks and questions.
 
-    For many questions: the index is laid out by chunk in parts of bounded size, each task adds
-    the weights of a question's terms in NumPy over the chunks that have one of them and keeps
-    its best ``depth``, so what is shuffled are candidates and not one row for each question,
-    term and chunk. Questions come in blocks of at most ``QUESTION_BLOCK``, whatever their number.
+    For many questions: the postings of the questions' terms are packed into arrays, some thousand
+    chunks a row, and each task ranks a block of at most ``QUESTION_BLOCK`` questions over all of them,
+    so neither postings nor candidates are shuffled. With ``only`` (question_id, chunk_id) just these
+    rows of the whole ranking come out.
     """
-    index = postings(chunks, k1, b, stems)
-    size = chunks.count()
-    index = cut_lineage(index.repartition(max(1 + size // PART_CHUNKS, min(8, 1 + size // 1_000)), "chunk_id"))
-    # blocks of questions by hash: few and bounded, each scored in a pass of its own
-    terms = cut_lineage(query_terms(questions, stems).groupBy("question_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms")))
-    blocks = 1 + terms.count() // QUESTION_BLOCK
+    if k1 < 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must be at least 0 and b between 0 and 1")
+    spark = chunks.sparkSession
+    terms = query_terms(questions).groupBy("question_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms"))
+    if only is not None:
+        wanted = only.groupBy(F.col("question_id").alias("_q")).agg(F.collect_set("chunk_id").alias("wanted"))
+        terms = terms.join(wanted, F.col("question_id").eqNullSafe(F.col("_q"))).drop("_q")
+    terms = cut_lineage(terms)
+    words = [r.term for r in terms.select(F.explode("terms.term").alias("term")).distinct().collect()]
+    stem = stemmer or (lambda word: word)
+    names = sorted({stem(w) for w in words})
+    place = {t: i for i, t in enumerate(names)}
+    code_of = spark.sparkContext.broadcast({w: place[stem(w)] for w in words})
+    index = cut_lineage(chunks.select("chunk_id", "page_id", tx.tokenize(F.col("text")).alias("terms")).mapInArrow(_packer(names, stemmer), PACKED))
+    size, mean = index.agg(F.sum("n"), F.sum("total") / F.sum("known")).first()
+    if not size or not words:
+        return spark.createDataFrame([], RANKED)
+    idf = F.log(1 + (F.lit(size) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = index.select("codes", "counts").mapInArrow(_frequencies, "code int, df bigint").groupBy("code").agg(F.sum("df").alias("df"))
+    weights, often = np.zeros(len(names)), np.zeros(len(names), np.int64)
+    for r in df.select("code", "df", idf.alias("idf")).collect():  # the words of the questions
+        weights[r.code], often[r.code] = r.idf, r.df
+    shared = spark.sparkContext.broadcast((weights, often * COMMON > size))
+    common = F.udf(lambda words: str(sorted({code_of.value[w] for w in words if shared.value[1][code_of.value[w]]})), "string")
+    # questions with the same common terms go to the same block: those are added up once for all
+    hashed = terms.withColumn("bucket", F.pmod(F.xxhash64(common("terms.term")), F.lit(BUCKETS)))
+    hashed = cut_lineage(hashed)
+    counted = {r.bucket: r["count"] for r in hashed.groupBy("bucket").count().collect()}
+    total = sum(counted.values())
+    blocks = max(1 + total // QUESTION_BLOCK, min(24, 1 + total // 1_000))
     runs = []
-    for block in range(blocks):
-        asked = [(r.question_id, [(t.term, t.qtf) for t in r.terms]) for r in terms.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).collect()]
-        runs.append(index.mapInPandas(_scorer(asked, depth), CANDIDATES))
-    return rank(reduce(DataFrame.unionByName, runs), depth)
+    for held, parts in _blocks(counted, -(-total // blocks)):
+        chosen = hashed.where(F.col("bucket").isin(held))
+        for part in range(parts):
+            rows = chosen.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).collect()
+            asked = [(r.question_id, [(t.term, t.qtf) for t in r.terms], set(r.wanted) if only is not None else None) for r in rows]
+            if asked:
+                runs.append(index.drop("n", "known", "total").coalesce(1).mapInArrow(_ranker(asked, code_of, shared, depth, k1, b, mean), RANKED))
+    # a union of single partitions alone would be one task: the last part, without rows, keeps them apart
+    none = index.where("n < 0").select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in RANKED.split(", "))])
+    return reduce(DataFrame.unionByName, [*runs, none])
+
+
+def _blocks(counted: dict[int, int], most: int) -> list[tuple[list[int], int]]:
+    """Buckets put together to blocks of about ``most`` questions; a bucket of more stands alone, with
+    the number of parts it is cut into."""
+    out, open_, used = [], [], 0
+    for bucket, n in sorted(counted.items(), key=lambda x: (-x[1], x[0])):
+        if n > most:
+            out.append(([bucket], -(-n // most)))
+            continue
+        if used + n > most:
+            out.append((open_, 1))
+            open_, used = [], 0
+        open_.append(bucket)
+        used += n
+    return out + ([(open_, 1)] if open_ else [])
+
+
+def _packer(names: list[str], stemmer: Callable[[str], str] | None) -> Callable:
+    """(chunk_id, page_id, terms) -> rows of ``PACKED``: the postings of ``names``, by term then chunk."""
+
+    def run(batches):
+        known, memo = pa.array(names, pa.string()), {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, SEGMENT):
+                part = batch.slice(start, SEGMENT)
+                n, terms = part.num_rows, part.column("terms")
+                lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = terms.flatten().dictionary_encode()
+                words = coded.dictionary
+                if stemmer is not None:
+                    for w in words.to_pylist():
+                        if w not in memo:
+                            memo[w] = stemmer(w)
+                    words = pa.array([memo[w] for w in words.to_pylist()], pa.string())
+                place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                code = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+                key = (code * n + np.repeat(np.arange(n), lengths))[code >= 0]
+                key, tf = np.unique(key, return_counts=True)
+                codes, counts = np.unique(key // max(n, 1), return_counts=True)
+                blob = [x.astype(np.int32).tobytes() for x in (lengths, codes, counts, key % max(n, 1), tf)]
+                yield pa.RecordBatch.from_pydict({
+                    "n": pa.array([n], pa.int64()), "known": pa.array([n - terms.null_count], pa.int64()), "total": pa.array([int(lengths.sum())], pa.int64()),
+                    "ids": pa.array([part.column("chunk_id").to_pylist()], pa.list_(pa.string())), "pages": pa.array([part.column("page_id").to_pylist()], pa.list_(pa.string())),
+                    **{k: pa.array([v], pa.binary()) for k, v in zip(("lengths", "codes", "counts", "rows", "tf"), blob)},
+                })
+
+    return run
+
+
+def _frequencies(batches):
+    for batch in batches:
+        for codes, counts in zip(batch.column("codes"), batch.column("counts")):
+            yield pa.RecordBatch.from_pydict({"code": np.frombuffer(codes.as_py(), np.int32), "df": np.frombuffer(counts.as_py(), np.int32).astype(np.int64)})
 
 
 def _best(score: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
@@ -101,43 +197,166 @@ def _best(score: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))][:depth]
 
 
-def _scorer(asked: list, depth: int) -> Callable:
-    needed = {t for _, terms in asked for t, _ in terms}
+def _ranker(asked: list, code_of, shared, depth: int, k1: float, b: float, mean: float) -> Callable:
+    """Ranks a block of questions over the whole index, in parts of about ``PART_POSTINGS`` postings.
+
+    The weights of a question's common terms are the same vector for all questions that have the same
+    ones: it is added up once, with its best chunks in order. A question then adds its rare terms to
+    the chunks that have one, and the others can only be the best of the common order.
+    """
 
     def run(batches):
-        parts = [b[b["term"].isin(needed)] for b in batches]
-        held = pd.concat(parts) if parts else pd.DataFrame()
-        if not len(held):
-            return
-        codes, ids = pd.factorize(held["chunk_id"], sort=True)
-        page = np.empty(len(ids), object)
-        page[codes] = held["page_id"].to_numpy()
-        order = np.argsort(held["term"].to_numpy(), kind="stable")
-        names, first = np.unique(held["term"].to_numpy()[order], return_index=True)
-        at, weight, ends = codes[order], held["weight"].to_numpy()[order], np.append(first, len(order))
-        column = {t: slice(a, b) for t, a, b in zip(names, ends[:-1], ends[1:])}
-        score, out = np.zeros(len(ids)), []
-        for question, terms in asked:
-            used = [(column[term], times) for term, times in sorted(terms) if term in column]
-            for place, times in used:
-                score[at[place]] += times * weight[place]  # a chunk has a term once
-            if not used:
+        idf, is_common = shared.value
+        bags: dict[tuple, list] = {}
+        for question, terms, wanted in asked:
+            bag: dict[int, int] = {}
+            for term, times in terms:
+                bag[code_of.value[term]] = bag.get(code_of.value[term], 0) + times
+            common = tuple(sorted((c, n) for c, n in bag.items() if is_common[c]))
+            rare = tuple(sorted((c, n) for c, n in bag.items() if not is_common[c]))
+            bags.setdefault((common, rare), []).append((question, wanted))
+        order = sorted(bags)
+        needed = np.zeros(len(idf), bool)
+        for pair in order:
+            needed[[c for x in pair for c, _ in x]] = True
+        ids, pages, best = pa.array([], pa.string()), pa.array([], pa.string()), {}
+        for segments in _parts(batches, needed):
+            # the best so far and this part's chunks, numbered in the order of their ids
+            kept = len(ids)
+            ids = pa.concat_arrays([ids, *[s[0] for s in segments]])
+            pages = pa.concat_arrays([pages, *[s[1] for s in segments]])
+            sort = pc.sort_indices(ids).to_numpy()
+            number = np.empty(len(ids), np.int32)
+            number[sort] = np.arange(len(ids), dtype=np.int32)
+            ids, pages = ids.take(pa.array(sort)), pages.take(pa.array(sort))
+            best = {k: (value, number[at]) for k, (value, at) in best.items()}
+            at, weight, ends = _columns(segments, idf, number[kept:], k1, b, mean)
+            _rank_part(order, best, at, weight, ends, len(ids), depth)
+            used = np.unique(np.concatenate([at for _, at in best.values()])) if best else np.zeros(0, np.int32)
+            best = {k: (value, np.searchsorted(used, at)) for k, (value, at) in best.items()}
+            ids, pages = ids.take(pa.array(used)), pages.take(pa.array(used))
+        out, rows = [], 0
+        for k in order:
+            if k not in best:
                 continue
-            hit = np.unique(np.concatenate([at[place] for place, _ in used])) if len(used) > 1 else at[used[0][0]]
-            value = np.round(score[hit], 9)
-            score[hit] = 0.0
-            hit, value = hit[value > 0], value[value > 0]
-            best = _best(value, hit, depth)
-            out.append((question, ids[hit[best]], page[hit[best]], value[best]))
-            if len(out) >= 500:
-                yield _candidates(out)
-                out = []
-        if out:
-            yield _candidates(out)
+            value, at = best[k]
+            for question, wanted in bags[k]:
+                rank = np.arange(1, len(at) + 1, dtype=np.int32)
+                if wanted is None:
+                    out.append((question, rank, at, value))
+                else:
+                    hit = np.array([i in wanted for i in ids.take(pa.array(at)).to_pylist()], bool)
+                    out.append((question, rank[hit], at[hit], value[hit]))
+                rows += len(out[-1][1])
+                if rows >= 50_000:
+                    yield _ranked(out, ids, pages)
+                    out, rows = [], 0
+        if rows:
+            yield _ranked(out, ids, pages)
 
     return run
 
 
+def _parts(batches, needed: np.ndarray):
+    """Lists of (ids, pages, lengths, codes, counts, rows, tf), of the needed terms only."""
+    held, postings_held = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lengths, codes, counts, rows, tf = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("lengths", "codes", "counts", "rows", "tf"))
+            keep = needed[codes]
+            at = np.repeat(keep, counts)
+            held.append((batch.column("ids")[i].values, batch.column("pages")[i].values, lengths.copy(), codes[keep], counts[keep], rows[at], tf[at]))
+            postings_held += int(at.sum())
+            if postings_held >= PART_POSTINGS:
+                yield held
+                held, postings_held = [], 0
+    if held:
+        yield held
+
+
+def _columns(segments: list, idf: np.ndarray, number: np.ndarray, k1: float, b: float, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunks, weights, ends): the postings of term t are those from ``ends[t]`` to ``ends[t + 1]``."""
+    times = np.zeros(len(idf), np.int64)
+    for _, _, _, codes, counts, _, _ in segments:
+        times[codes] += counts
+    ends = np.concatenate([[0], np.cumsum(times)])
+    free, first = ends[:-1].copy(), 0
+    at, weight = np.empty(ends[-1], np.int32), np.empty(ends[-1])
+    for ids, _, lengths, codes, counts, rows, tf in segments:
+        to = np.repeat(free[codes] - (np.cumsum(counts) - counts), counts) + np.arange(len(rows))
+        norm = k1 * (1 - b + b * lengths[rows] / mean) if mean else k1 * (1 - b)
+        at[to], weight[to] = number[first + rows], np.repeat(idf[codes], counts) * tf * (k1 + 1) / (tf + norm)
+        free[codes] += counts
+        first += len(ids)
+    return at, weight, ends
+
+
+def _rank_part(order: list, best: dict, at: np.ndarray, weight: np.ndarray, ends: np.ndarray, size: int, depth: int) -> None:
+    """Put the best ``depth`` (values, chunks) of every bag of terms into ``best``, of those there and of this part."""
+    seen, mark = np.full(size, -1, np.int64), 0
+    for common, members in groupby(order, key=lambda k: k[0]):
+        score = np.zeros(size)
+        for c, times in common:
+            place = slice(ends[c], ends[c + 1])
+            score[at[place]] += times * weight[place]
+        rounded = np.round(score, 9)
+        first, whole = _first(rounded, 2 * depth) if common else (np.zeros(0, np.int64), True)
+        for key in members:
+            places = [(slice(ends[c], ends[c + 1]), times) for c, times in key[1] if ends[c + 1] > ends[c]]
+            hit, value = np.zeros(0, np.int64), np.zeros(0)
+            if places:
+                hit = np.concatenate([at[p] for p, _ in places]) if len(places) > 1 else at[places[0][0]]
+                if len(places) > 1:
+                    seen[hit] = np.arange(mark, mark + len(hit))
+                    hit = hit[seen[hit] == np.arange(mark, mark + len(hit))]
+                    mark += sum(p.stop - p.start for p, _ in places)
+                before = score[hit]
+                for p, times in places:
+                    score[at[p]] += times * weight[p]  # a chunk has a term once
+                value = np.round(score[hit], 9)
+                score[hit] = before
+                others, all_of = first, whole
+                seen[hit] = mark
+                others = others[seen[others] != mark]
+                if len(others) < depth and not all_of:
+                    others, _ = _first(rounded, depth + len(hit))
+                    others = others[seen[others] != mark]
+                mark += 1
+            else:
+                others = first
+            others = others[:depth]
+            if len(others) == depth and len(hit):
+                above = value >= rounded[others[-1]]
+                hit, value = hit[above], value[above]
+            held = [(value, hit), (rounded[others], others), *([best[key]] if key in best else [])]
+            values, chunks = np.concatenate([v for v, _ in held]), np.concatenate([c for _, c in held])
+            if not (values > 0).all():
+                values, chunks = values[values > 0], chunks[values > 0]
+            if len(values):
+                top = _best(values, chunks, depth)
+                best[key] = values[top], chunks[top].astype(np.int32)
+
+
+def _first(value: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
+    """The places of the greatest values above 0 in order, of equals the smaller place: at least ``n``
+    of them, or all, and whether it is all."""
+    at = np.flatnonzero(value > 0)
+    whole = len(at) <= n
+    if not whole:
+        at = at[value[at] >= np.partition(value[at], -n)[-n]]
+    at = at[np.argsort(-value[at], kind="stable")]
+    return at, whole
+
+
+def _ranked(found: list, ids: pa.Array, pages: pa.Array) -> pa.RecordBatch:
+    questions = pa.array([q for q, *_ in found], pa.string()).take(pa.array(np.repeat(np.arange(len(found)), [len(x[1]) for x in found])))
+    at = pa.array(np.concatenate([x[2] for x in found]))
+    return pa.RecordBatch.from_arrays(
+        [questions, pa.array(np.concatenate([x[1] for x in found])), ids.take(at), pages.take(at), pa.array(np.concatenate([x[3] for x in found]))],
+        ["question_id", "rank", "chunk_id", "page_id", "score"],
+    )
+
+
 def _candidates(found: list) -> pd.DataFrame:
     names, ids, pages, scores = zip(*found, strict=True)
     return pd.DataFrame({

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallforge.functions import text as tx
-from recallforge.functions.stem import stem_terms
+from recallforge.functions.stem import stem, stem_terms
 from recallforge.operators import evaluation as ev
 from recallforge.operators import retrieval, sampling
 from recallforge.operators.chunking import ChunkSettings, block_chunks, fixed_chunks
@@ -215,8 +215,7 @@ def first_stage(config: Retrieval, chunks: DataFrame, questions: DataFrame, vect
         raise ValueError(f"{config.method} needs vectors of chunks and of questions")
 
     def lexical(depth: int) -> DataFrame:
-        stems = stems_of(chunks.select("text"), questions.select(F.col("question").alias("text"))) if config.bm25.stem else None
-        return retrieval.bm25_search(chunks, questions, depth, config.bm25.k1, config.bm25.b, stems)
+        return retrieval.bm25_search(chunks, questions, depth, config.bm25.k1, config.bm25.b, stem if config.bm25.stem else None)
 
     if config.method == "bm25":
         return lexical(config.depth)

@@ -37,6 +37,65 @@ def test_bm25_of_three_chunks(spark):
         retrieval.postings(chunks, -1)
 
 
+def some_texts(spark):
+    """Chunks of common and rare words, many of equal scores, and questions of both."""
+    words = [f"w{i}" for i in range(90)]
+    chunks = [(f"p{i % 90}#{i}", f"p{i % 90}", f"the {'of ' * (i % 3)}{words[i * 7 % 90]} {words[i * i % 90]} flows") for i in range(600)]
+    asked = [(f"q{i}", f"{('the of', 'the the', 'of', '')[i % 4]} {words[i % 90] if i % 5 else ''} {words[i * 3 % 90]} flowing") for i in range(60)]
+    return spark.createDataFrame(chunks, "chunk_id string, page_id string, text string"), spark.createDataFrame([*asked, ("none", "zzz"), ("null", None)], "question_id string, question string")
+
+
+def test_search_by_blocks_equals_the_join(spark):
+    chunks, asked = some_texts(spark)
+    by_block, joined = retrieval.bm25_search(chunks, asked, 7), retrieval.rank(retrieval.bm25_scores(retrieval.postings(chunks), retrieval.query_terms(asked)), 7, positive_only=True)
+    assert sorted(by_block.collect()) == sorted(joined.select(by_block.columns).collect()) and by_block.count() == 60 * 7
+    plan = by_block._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan  # neither candidates nor postings are shuffled
+    only = spark.createDataFrame([("q1", "p1#1"), ("q2", "none")], "question_id string, chunk_id string")
+    assert retrieval.bm25_search(chunks, asked, 600, only=only).collect() == retrieval.bm25_search(chunks, asked, 600).where("question_id = 'q1' AND chunk_id = 'p1#1'").collect()
+
+
+def test_blocks_run_side_by_side(spark, monkeypatch):
+    chunks, asked = some_texts(spark)
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 15)
+    found = retrieval.bm25_search(chunks, asked, 7)
+    assert found.withColumn("p", F.spark_partition_id()).select("p").distinct().count() >= 3
+    monkeypatch.undo()
+    assert sorted(found.collect()) == sorted(retrieval.bm25_search(chunks, asked, 7).collect())
+
+
+def test_parts_of_the_index_are_merged(spark, monkeypatch):
+    chunks, asked = some_texts(spark)
+    expected = sorted(tuple(r) for r in retrieval.bm25_search(chunks, asked, 7).collect())
+    monkeypatch.setattr(retrieval, "SEGMENT", 50)
+    monkeypatch.setattr(retrieval, "PART_POSTINGS", 300)
+    rows = chunks.select("chunk_id", "page_id", tx.tokenize(F.col("text")).alias("terms")).toArrow()
+    terms = [(r.question_id, [(t, 1) for t in r.terms or []], None) for r in asked.select("question_id", tx.tokenize(F.col("question")).alias("terms")).collect()]
+    names = sorted({t for _, found, _ in terms for t, _ in found})
+    packed = list(retrieval._packer(names, None)(rows.to_batches()))
+    df = np.zeros(len(names))
+    for batch in retrieval._frequencies(packed):
+        df[batch.column("code").to_numpy()] += batch.column("df").to_numpy()
+    n, mean = len(rows), sum(map(len, rows["terms"].to_pylist())) / len(rows)
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    shared = Held((np.log(1 + (n - df + 0.5) / (df + 0.5)), df * retrieval.COMMON > n))
+    found = retrieval._ranker(terms, Held({t: i for i, t in enumerate(names)}), shared, 7, 0.9, 0.4, mean)(packed)
+    assert len(packed) >= 12 and sorted(tuple(r.values()) for b in found for r in b.to_pylist()) == expected
+
+
+def test_stemmed_search_equals_the_join(spark):
+    chunks, asked = some_texts(spark)
+    stems = config.stems_of(chunks.select("text"), asked.select(F.col("question").alias("text")))
+    joined = retrieval.rank(retrieval.bm25_scores(retrieval.postings(chunks, stems=stems), retrieval.query_terms(asked, stems)), 9, positive_only=True)
+    found = retrieval.bm25_search(chunks, asked, 9, stemmer=stem.stem)
+    assert sorted(found.collect()) == sorted(joined.select(found.columns).collect())
+    assert found.where("question_id = 'q4'").count() == 9  # flowing finds flows
+
+
 def test_metrics_of_one_ranking(spark):
     ranking = spark.createDataFrame([("q", i + 1, f"d{i + 1}") for i in range(5)], "question_id string, rank int, doc_id string")
     judged = spark.createDataFrame([("q", d, 1) for d in ("d2", "d4", "d9")] + [("z", "d1", 1)], "question_id string, doc_id string, grade int")
