@@ -58,20 +58,25 @@ def build_corpus(rows: DataFrame) -> dict[str, DataFrame]:
     # a tag at the answer's start tells its kind
     start = F.get("stream", F.col("of.answer.start_token"))
     tagged = stream.withColumn("tag", F.when(start["is_html"], tx.tag_name(start["token"])).otherwise(F.lit("")))
-    built = cut_lineage(
-        page_build.build_pages(tagged.withColumn("page_id", F.to_json(F.struct("page_id", "of", "tag"))))
-    )
+    built = page_build.build_pages(tagged.withColumn("page_id", F.to_json(F.struct("page_id", "of", "tag"))))
     of = F.from_json("page_id", "page_id string, of struct<file:string,row_index:bigint,kept:boolean,agreed:boolean,answer:struct<start_token:int,end_token:int,short_answers:array<string>>,question:string>, tag string")
-    built = built.withColumn("x", of)
+    built = built.withColumn("x", of).withColumn("span", corpus.char_span(F.col("token_spans"), F.col("x.of.answer.start_token"), F.col("x.of.answer.end_token")))
+    # pages are built again where they are asked for: what is written has a page's text once, and neither blocks nor spans of tokens
     pages = built.where("x.of.kept").select("x.page_id", "title", "url", "text", "blocks", "token_spans", "content_tokens")
-    asked = built.where("x.of.agreed").select(
-        F.concat("x.of.file", F.lit("#"), "x.of.row_index").alias("question_id"), F.col("x.of.question").alias("question"), "title", "x.of.kept", "text",
-        F.col("x.of.answer.short_answers").alias("short_answers"), tx.answer_type(F.col("x.tag")).alias("answer_type"),
-        corpus.char_span(F.col("token_spans"), F.col("x.of.answer.start_token"), F.col("x.of.answer.end_token")).alias("span"),
+    told = cut_lineage(
+        built.select(
+            "x", "title", "span", "content_tokens", F.when(F.col("x.of.kept"), F.col("text")).alias("text"), F.when(F.col("x.of.kept"), F.size(tx.words(F.col("text")))).alias("words"),
+            F.size(F.filter("token_spans", lambda s: s.isNotNull())).alias("mapped"),
+            F.when(F.col("span").isNotNull(), F.expr("substring(text, span.start + 1, span.end - span.start)")).alias("passage"),
+        )
+    )
+    kept = told.where("x.of.kept")
+    asked = told.where("x.of.agreed").select(
+        F.concat("x.of.file", F.lit("#"), "x.of.row_index").alias("question_id"), F.col("x.of.question").alias("question"), "title", "x.of.kept",
+        F.col("x.of.answer.short_answers").alias("short_answers"), tx.answer_type(F.col("x.tag")).alias("answer_type"), "span", "passage",
     )
-    asked = asked.withColumn("passage", F.when(F.col("span").isNotNull(), F.expr("substring(text, span.start + 1, span.end - span.start)")))
     found = F.instr("page_text", F.col("passage"))
-    joined = asked.join(pages.select("title", "page_id", F.col("text").alias("page_text")), "title")
+    joined = asked.join(kept.select("title", "x.page_id", F.col("text").alias("page_text")), "title")
     moved = joined.withColumn("answer_start", F.when(F.col("kept"), F.col("span.start")).when(found > 0, found - 1))
     moved = moved.withColumn("state", F.when(F.col("span").isNull(), "dropped_span").when(F.col("answer_start").isNull(), "not_relocatable").when(F.col("kept"), "own").otherwise("relocated"))
     questions = moved.where("answer_start IS NOT NULL").select(
@@ -79,8 +84,7 @@ def build_corpus(rows: DataFrame) -> dict[str, DataFrame]:
     )
     counters = (
         known.agg(F.count("*").alias("rows"), F.count_if(~F.col("agreed")).alias("without_agreed_answer"))
-        .join(pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.size(tx.words(F.col("text")))), F.lit(0)).alias("words"), F.coalesce(F.sum("content_tokens"), F.lit(0)).alias("content_tokens"),
-                        F.coalesce(F.sum(F.size(F.filter("token_spans", lambda s: s.isNotNull()))), F.lit(0)).alias("mapped_tokens")))
+        .join(kept.agg(F.count("*").alias("pages"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("words", "words"), ("content_tokens", "content_tokens"), ("mapped", "mapped_tokens"))]))
         .join(moved.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("own", "relocated", "not_relocatable", "dropped_span")]))
     )
     return {"pages": pages, "questions": questions, "counters": counters}

@@ -210,6 +210,13 @@ def test_pages_are_built_a_few_tokens_at_a_time():
     assert seen == [{"page_id": str(i), "text": "" if i % 3 else text, "content_tokens": 0 if i % 3 else 400} for i in range(1200)]
 
 
+def test_corpus_writes_neither_blocks_nor_token_spans(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(build, "cut_lineage", lambda df: (written.append(df.columns), df)[1])
+    build.build_corpus(queries._token_rows(spark, "/root/testdata/sf0.001"))
+    assert written and not {"blocks", "token_spans", "stream"} & {c for columns in written for c in columns}
+
+
 def test_samples_and_selection(spark):
     rows = spark.createDataFrame([(f"q{i}", "a" if i < 6 else "b" if i < 9 else None) for i in range(10)], "question_id string, t string")
     assert {r.t: r.quota for r in sampling.quotas(rows, "t", 5).collect()} == {"a": 3, "b": 1, None: 1}
