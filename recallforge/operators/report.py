@@ -59,8 +59,12 @@ def trec_rows(ranking: DataFrame, tag: str) -> DataFrame:
 
 def text_ranks(ranking: DataFrame, chunks: DataFrame, references: DataFrame, questions: DataFrame, depth: int = 10) -> DataFrame:
     """(question_id, rank): the first rank whose body contains a reference; null of none."""
-    read = ranking.where(F.col("rank") <= depth).join(chunks.select("chunk_id", "text"), "chunk_id").join(references, "question_id")
-    found = read.where(tx.contains_reference(tx.body(F.col("text")), F.col("short_answers"))).groupBy("question_id").agg(F.min("rank").alias("rank"))
+    # bodies and references are normalised once each, not for each pair, and no text is shuffled after it has met its questions
+    spaced = F.transform("short_answers", lambda r: F.concat(F.lit(" "), tx.normalise_answer(r), F.lit(" ")))
+    sought = references.select("question_id", F.filter(spaced, lambda r: r != "  ").alias("sought")).where(F.size("sought") > 0)
+    bodies = chunks.select("chunk_id", F.concat(F.lit(" "), tx.normalise_answer(tx.body(F.col("text"))), F.lit(" ")).alias("body"))
+    read = ranking.where(F.col("rank") <= depth).select("question_id", "rank", "chunk_id").join(sought, "question_id").join(bodies, "chunk_id")
+    found = read.where(F.exists("sought", lambda r: F.col("body").contains(r))).groupBy("question_id").agg(F.min("rank").alias("rank"))
     return questions.select("question_id").join(found, "question_id", "left")
 
 

@@ -217,6 +217,17 @@ def test_corpus_writes_neither_blocks_nor_token_spans(spark, monkeypatch):
     assert written and not {"blocks", "token_spans", "stream"} & {c for columns in written for c in columns}
 
 
+def test_references_are_looked_for_in_bodies(spark):
+    ranking = spark.createDataFrame([("a", 1, "c1"), ("a", 2, "c2"), ("a", 3, "c3"), ("b", 1, "c3"), ("c", 1, "c1")], "question_id string, rank int, chunk_id string")
+    chunks = spark.createDataFrame([("c1", "Lake\nNo the towns."), ("c2", "Head\nBy a Lake, old"), ("c3", "Head\nlake")], "chunk_id string, text string")
+    told = spark.createDataFrame([("a", ["", "The lake!", None]), ("b", ["the"]), ("c", None)], "question_id string, short_answers array<string>")
+    found = report.text_ranks(ranking, chunks, told, told)
+    assert {r.question_id: r["rank"] for r in found.collect()} == {"a": 2, "b": None, "c": None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # before the joins: once for a chunk and once for a question
+    assert plan.index("Join Inner") < plan.index("regexp_replace")
+
+
 def test_samples_and_selection(spark):
     rows = spark.createDataFrame([(f"q{i}", "a" if i < 6 else "b" if i < 9 else None) for i in range(10)], "question_id string, t string")
     assert {r.t: r.quota for r in sampling.quotas(rows, "t", 5).collect()} == {"a": 3, "b": 1, None: 1}
