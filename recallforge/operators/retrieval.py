@@ -89,15 +89,16 @@ def bm25_search(
 
     For many questions: the postings of the questions' terms are packed into arrays, some thousand
     chunks a row, and each task ranks a block of at most ``QUESTION_BLOCK`` questions over all of them,
-    so neither postings nor candidates are shuffled. With ``only`` (question_id, chunk_id) just these
-    rows of the whole ranking come out.
+    so neither postings nor candidates are shuffled. With ``only`` (question_id, chunk_id, page_id; one
+    of them may be null) come out just the rows of the whole ranking that have such a chunk, or are the
+    first of such a page, with ``page_rank``: the page's rank, null where it came before.
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be at least 0 and b between 0 and 1")
-    spark = chunks.sparkSession
+    spark, schema = chunks.sparkSession, RANKED + (", page_rank int" if only is not None else "")
     terms = query_terms(questions).groupBy("question_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms"))
     if only is not None:
-        wanted = only.groupBy(F.col("question_id").alias("_q")).agg(F.collect_set("chunk_id").alias("wanted"))
+        wanted = only.groupBy(F.col("question_id").alias("_q")).agg(F.collect_set("chunk_id").alias("wanted"), F.collect_set("page_id").alias("wanted_pages"))
         terms = terms.join(wanted, F.col("question_id").eqNullSafe(F.col("_q"))).drop("_q")
     terms = cut_lineage(terms)
     words = [r.term for r in terms.select(F.explode("terms.term").alias("term")).distinct().collect()]
@@ -108,7 +109,7 @@ def bm25_search(
     index = cut_lineage(chunks.select("chunk_id", "page_id", tx.tokenize(F.col("text")).alias("terms")).mapInArrow(_packer(names, stemmer), PACKED))
     size, mean = index.agg(F.sum("n"), F.sum("total") / F.sum("known")).first()
     if not size or not words:
-        return spark.createDataFrame([], RANKED)
+        return spark.createDataFrame([], schema)
     idf = F.log(1 + (F.lit(size) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = index.select("codes", "counts").mapInArrow(_frequencies, "code int, df bigint").groupBy("code").agg(F.sum("df").alias("df"))
     weights, often = np.zeros(len(names)), np.zeros(len(names), np.int64)
@@ -127,11 +128,11 @@ def bm25_search(
         chosen = hashed.where(F.col("bucket").isin(held))
         for part in range(parts):
             rows = chosen.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).collect()
-            asked = [(r.question_id, [(t.term, t.qtf) for t in r.terms], set(r.wanted) if only is not None else None) for r in rows]
+            asked = [(r.question_id, [(t.term, t.qtf) for t in r.terms], (set(r.wanted), set(r.wanted_pages)) if only is not None else None) for r in rows]
             if asked:
-                runs.append(index.drop("n", "known", "total").coalesce(1).mapInArrow(_ranker(asked, code_of, shared, depth, k1, b, mean), RANKED))
+                runs.append(index.drop("n", "known", "total").coalesce(1).mapInArrow(_ranker(asked, code_of, shared, depth, k1, b, mean), schema))
     # a union of single partitions alone would be one task: the last part, without rows, keeps them apart
-    none = index.where("n < 0").select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in RANKED.split(", "))])
+    none = index.where("n < 0").select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
     return reduce(DataFrame.unionByName, [*runs, none])
 
 
@@ -239,15 +240,17 @@ def _ranker(asked: list, code_of, shared, depth: int, k1: float, b: float, mean:
         for k in order:
             if k not in best:
                 continue
-            value, at = best[k]
             for question, wanted in bags[k]:
-                rank = np.arange(1, len(at) + 1, dtype=np.int32)
-                if wanted is None:
-                    out.append((question, rank, at, value))
-                else:
-                    hit = np.array([i in wanted for i in ids.take(pa.array(at)).to_pylist()], bool)
-                    out.append((question, rank[hit], at[hit], value[hit]))
-                rows += len(out[-1][1])
+                value, at = best[k]
+                rank, of_page = np.arange(1, len(at) + 1, dtype=np.int32), None
+                if wanted is not None:
+                    met: dict = {}
+                    named = [(i, met.setdefault(p, len(met) + 1) if p not in met else None, p) for i, p in zip(ids.take(pa.array(at)).to_pylist(), pages.take(pa.array(at)).to_pylist())]
+                    hit = [j for j, (i, r, p) in enumerate(named) if i in wanted[0] or (r is not None and p in wanted[1])]
+                    of_page = [named[j][1] for j in hit]
+                    rank, at, value = rank[hit], at[hit], value[hit]
+                out.append((question, rank, at, value, of_page))
+                rows += len(rank)
                 if rows >= 50_000:
                     yield _ranked(out, ids, pages)
                     out, rows = [], 0
@@ -351,10 +354,13 @@ def _first(value: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
 def _ranked(found: list, ids: pa.Array, pages: pa.Array) -> pa.RecordBatch:
     questions = pa.array([q for q, *_ in found], pa.string()).take(pa.array(np.repeat(np.arange(len(found)), [len(x[1]) for x in found])))
     at = pa.array(np.concatenate([x[2] for x in found]))
-    return pa.RecordBatch.from_arrays(
-        [questions, pa.array(np.concatenate([x[1] for x in found])), ids.take(at), pages.take(at), pa.array(np.concatenate([x[3] for x in found]))],
-        ["question_id", "rank", "chunk_id", "page_id", "score"],
-    )
+    columns = {
+        "question_id": questions, "rank": pa.array(np.concatenate([x[1] for x in found])), "chunk_id": ids.take(at), "page_id": pages.take(at),
+        "score": pa.array(np.concatenate([x[3] for x in found])),
+    }
+    if found[0][4] is not None:
+        columns["page_rank"] = pa.array([r for x in found for r in x[4]], pa.int32())
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _candidates(found: list) -> pd.DataFrame:

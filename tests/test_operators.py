@@ -228,6 +228,20 @@ def test_references_are_looked_for_in_bodies(spark):
     assert plan.index("Join Inner") < plan.index("regexp_replace")
 
 
+def test_judged_rows_of_the_whole_ranking(spark):
+    chunks, asked = some_texts(spark)
+    whole = retrieval.bm25_search(chunks, asked, 50)
+    only = spark.createDataFrame([("q1", "p1#1", None), ("q2", "none", None), ("q3", None, "p3"), ("q8", "p9#99", "p9")], "question_id string, chunk_id string, page_id string")
+    found = {(r.question_id, r.chunk_id): (r.rank, r.page_rank) for r in retrieval.bm25_search(chunks, asked, 50, only=only).collect()}
+    ranks = {(r.question_id, r.chunk_id): (r.rank, r.page_id) for r in whole.collect()}
+    pages = {(r.question_id, r.page_id): r["rank"] for r in retrieval.pages_of(whole).collect()}
+    firsts = {}
+    for (q, c), (rank, p) in sorted(ranks.items(), key=lambda x: x[1][0]):
+        firsts.setdefault((q, p), c)
+    wanted = {(q, c) for q, c in ranks if (q, c) in (("q1", "p1#1"), ("q8", "p9#99"))} | {(q, c) for (q, p), c in firsts.items() if (q, p) in (("q3", "p3"), ("q8", "p9"))}
+    assert wanted and found == {(q, c): (ranks[q, c][0], pages[q, ranks[q, c][1]] if firsts[q, ranks[q, c][1]] == c else None) for q, c in wanted}
+
+
 def test_samples_and_selection(spark):
     rows = spark.createDataFrame([(f"q{i}", "a" if i < 6 else "b" if i < 9 else None) for i in range(10)], "question_id string, t string")
     assert {r.t: r.quota for r in sampling.quotas(rows, "t", 5).collect()} == {"a": 3, "b": 1, None: 1}
