@@ -209,13 +209,14 @@ def stems_of(*texts: DataFrame) -> DataFrame:
     return cut_lineage(stem_terms(reduce(DataFrame.unionByName, terms)))
 
 
-def first_stage(config: Retrieval, chunks: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """The ranking of the configured method, as one plan over all questions."""
+def first_stage(config: Retrieval, chunks: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, queries: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The ranking of the configured method, as one plan over all questions; ``only`` as in ``bm25_search``,
+    for that method alone."""
     if config.method != "bm25" and (vectors is None or queries is None):
         raise ValueError(f"{config.method} needs vectors of chunks and of questions")
 
     def lexical(depth: int) -> DataFrame:
-        return retrieval.bm25_search(chunks, questions, depth, config.bm25.k1, config.bm25.b, stem if config.bm25.stem else None)
+        return retrieval.bm25_search(chunks, questions, depth, config.bm25.k1, config.bm25.b, stem if config.bm25.stem else None, only)
 
     if config.method == "bm25":
         return lexical(config.depth)
@@ -252,14 +253,15 @@ def select_questions(config: Experiment, questions: DataFrame, passages: DataFra
 
 
 def run_experiment(
-    config: Experiment, pages: DataFrame, questions: DataFrame, spans: DataFrame, vectors=None, queries=None, scorer=None, grades: DataFrame | None = None
+    config: Experiment, pages: DataFrame, questions: DataFrame, spans: DataFrame, vectors=None, queries=None, scorer=None, grades: DataFrame | None = None, whole: bool = True
 ) -> dict[str, DataFrame]:
     """All of one experiment as its configuration says: chunks, judgements, questions, rankings of
     passages and pages, metrics of both levels and their means by type.
 
     pages are (page_id, title, text[, blocks]), questions (question_id, question, answer_type), spans
     (question_id, page_id, start, end). ``grades`` (question_id, page_id, grade) judge pages; without
-    them the pages of the spans are relevant. A configured reranker needs ``scorer``.
+    them the pages of the spans are relevant. A configured reranker needs ``scorer``. Without ``whole`` a
+    plain BM25 ranking comes out as its judged rows (see ``bm25_search``), which the metrics need.
     """
     if config.rerank and scorer is None:
         raise ValueError("a reranker is configured: a scorer is needed")
@@ -270,18 +272,24 @@ def run_experiment(
     kept, excluded = select_questions(config, questions, passages, of_pages)
     kept = cut_lineage(kept)
     asked = queries.join(kept.select("question_id"), "question_id", "left_semi") if queries is not None else None
-    ranking = first_stage(config.retrieval, chunks, kept, vectors, asked)
+    ids = kept.select("question_id")
+    passages_asked, pages_asked = (cut_lineage(x.join(ids, "question_id", "left_semi")) for x in (passages, of_pages))
+    only = None
+    if not whole and config.retrieval.method == "bm25" and not config.rerank:
+        none = F.lit(None).cast("string")
+        only = passages_asked.select("question_id", F.col("doc_id").alias("chunk_id"), none.alias("page_id")).unionByName(pages_asked.select("question_id", none.alias("chunk_id"), F.col("doc_id").alias("page_id")))
+    ranking = first_stage(config.retrieval, chunks, kept, vectors, asked, only)
     if config.rerank:
         # only the head reaches the scorer
         ranking = cut_lineage(ranking)
         head = ranking.where(F.col("rank") <= config.rerank.depth).join(chunks.select("chunk_id", "text"), "chunk_id").join(kept.select("question_id", "question"), "question_id")
         scored = head.join(retrieval.score_pairs(head, scorer), ["question", "text"]).select("question_id", "chunk_id", "rescore")
         ranking = retrieval.rerank(ranking, scored, config.rerank.depth)
-    ranking = cut_lineage(ranking)
-    cutoffs, ids = list(config.evaluation.cutoffs), kept.select("question_id")
+    ranking, cutoffs = cut_lineage(ranking), list(config.evaluation.cutoffs)
+    by_page = retrieval.pages_of(ranking) if only is None else ranking.where("page_rank IS NOT NULL").select("question_id", F.col("page_rank").alias("rank"), "page_id")
     levels = {
-        "passage": ev.question_metrics(ranking.withColumnRenamed("chunk_id", "doc_id"), passages.join(ids, "question_id", "left_semi"), cutoffs),
-        "page": ev.question_metrics(retrieval.pages_of(ranking).withColumnRenamed("page_id", "doc_id"), of_pages.join(ids, "question_id", "left_semi"), cutoffs),
+        "passage": ev.question_metrics(ranking.withColumnRenamed("chunk_id", "doc_id"), passages_asked, cutoffs),
+        "page": ev.question_metrics(by_page.withColumnRenamed("page_id", "doc_id"), pages_asked, cutoffs),
     }
     metrics = reduce(DataFrame.unionByName, [m.select(F.lit(level).alias("level"), "*") for level, m in levels.items()])
     averages = reduce(DataFrame.unionByName, [ev.average(m, kept).select(F.lit(level).alias("level"), "*") for level, m in levels.items()])

@@ -242,6 +242,16 @@ def test_judged_rows_of_the_whole_ranking(spark):
     assert wanted and found == {(q, c): (ranks[q, c][0], pages[q, ranks[q, c][1]] if firsts[q, ranks[q, c][1]] == c else None) for q, c in wanted}
 
 
+@pytest.mark.parametrize("stemmed", ["false", "true"])
+def test_experiment_by_judged_rows(spark, stemmed):
+    text = grid.to_toml(grid.setup("fixed", "bm25", False)).replace("stem = true", f"stem = {stemmed}")
+    sf = "/root/testdata/sf0.001"
+    given = (config.parse(text), queries._pages(spark, sf), queries._asked(spark, sf), queries._spans(queries._asked(spark, sf)))
+    part, whole = config.run_experiment(*given, whole=False), config.run_experiment(*given)
+    assert part["ranking"].count() < whole["ranking"].count() / 5
+    assert sorted(part["metrics"].collect()) == sorted(whole["metrics"].collect())
+
+
 def test_samples_and_selection(spark):
     rows = spark.createDataFrame([(f"q{i}", "a" if i < 6 else "b" if i < 9 else None) for i in range(10)], "question_id string, t string")
     assert {r.t: r.quota for r in sampling.quotas(rows, "t", 5).collect()} == {"a": 3, "b": 1, None: 1}
