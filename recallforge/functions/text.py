@@ -26,10 +26,15 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
 
+def plain_spaces(text: Column) -> Column:
+    """The text with a plain space for each rare one: as many characters."""
+    return F.translate(text, _RARE_SPACES, " " * len(_RARE_SPACES))
+
+
 def words(text: Column) -> Column:
     """Longest runs without white space. Rare spaces become plain ones first: the regular
     expression then needs the plain class, which is several times faster."""
-    return F.regexp_extract_all(F.translate(text, _RARE_SPACES, " " * len(_RARE_SPACES)), F.lit(r"(\S+)"), F.lit(1))
+    return F.regexp_extract_all(plain_spaces(text), F.lit(r"(\S+)"), F.lit(1))
 
 
 def normalise_answer(text: Column) -> Column:

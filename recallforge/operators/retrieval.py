@@ -8,10 +8,11 @@ order rank alike.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable
 from functools import reduce
-from itertools import groupby
+from itertools import accumulate, groupby, repeat
 
 import numpy as np
 import pandas as pd
@@ -123,14 +124,12 @@ def bm25_search(
     counted = {r.bucket: r["count"] for r in hashed.groupBy("bucket").count().collect()}
     total = sum(counted.values())
     blocks = max(1 + total // QUESTION_BLOCK, min(24, 1 + total // 1_000))
-    runs = []
-    for held, parts in _blocks(counted, -(-total // blocks)):
-        chosen = hashed.where(F.col("bucket").isin(held))
-        for part in range(parts):
-            rows = chosen.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part).collect()
-            asked = [(r.question_id, [(t.term, t.qtf) for t in r.terms], (set(r.wanted), set(r.wanted_pages)) if only is not None else None) for r in rows]
-            if asked:
-                runs.append(index.drop("n", "known", "total").coalesce(1).mapInArrow(_ranker(asked, code_of, shared, depth, k1, b, mean), schema))
+    places = [(bucket, first, parts) for first, (held, parts) in _numbered(_blocks(counted, -(-total // blocks))) for bucket in held]
+    placed = hashed.join(F.broadcast(spark.createDataFrame(places, "bucket int, first int, parts int")), "bucket")
+    # equal questions stay in one part, where they are ranked once
+    placed = placed.withColumn("block", F.col("first") + F.pmod(F.xxhash64(F.array_sort("terms")), F.col("parts")).cast("int")).drop("bucket", "first", "parts")
+    asked = placed.groupBy("block").applyInArrow(_pickled, "block int, asked binary").collect()  # the questions
+    runs = [index.drop("n", "known", "total").coalesce(1).mapInArrow(_block_ranker(bytes(r.asked), code_of, shared, depth, k1, b, mean), schema) for r in sorted(asked)]
     # a union of single partitions alone would be one task: the last part, without rows, keeps them apart
     none = index.where("n < 0").select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
     return reduce(DataFrame.unionByName, [*runs, none])
@@ -152,6 +151,25 @@ def _blocks(counted: dict[int, int], most: int) -> list[tuple[list[int], int]]:
     return out + ([(open_, 1)] if open_ else [])
 
 
+def _numbered(blocks: list[tuple[list[int], int]]) -> list[tuple[int, tuple[list[int], int]]]:
+    """Each block with the number of its first part."""
+    return list(zip(accumulate((parts for _, parts in blocks), initial=0), blocks))
+
+
+def _pickled(rows: pa.Table) -> pa.Table:
+    """The questions of one block as (question, terms, wanted), in one value: a driver holds them all."""
+    rows = rows.combine_chunks()
+    of = {c: rows[c].to_pylist() for c in rows.column_names}
+    wanted = zip(map(set, of["wanted"]), map(set, of["wanted_pages"])) if "wanted" in of else repeat(None)
+    asked = [(q, [(x["term"], x["qtf"]) for x in terms], w) for q, terms, w in zip(of["question_id"], of["terms"], wanted)]
+    return pa.table({"block": rows["block"].slice(0, 1), "asked": pa.array([pickle.dumps(asked)], pa.binary())})
+
+
+def _block_ranker(asked: bytes, *of) -> Callable:
+    """``_ranker`` of the questions of ``_pickled``, which become objects only in the task."""
+    return lambda batches: _ranker(pickle.loads(asked), *of)(batches)
+
+
 def _packer(names: list[str], stemmer: Callable[[str], str] | None) -> Callable:
     """(chunk_id, page_id, terms) -> rows of ``PACKED``: the postings of ``names``, by term then chunk."""
 

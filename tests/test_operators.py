@@ -95,6 +95,37 @@ def test_stemmed_search_equals_the_join(spark):
     assert found.where("question_id = 'q4'").count() == 9  # flowing finds flows
 
 
+def test_questions_are_collected_once(spark, monkeypatch):
+    chunks, asked = some_texts(spark)
+    asked = asked.unionByName(asked.select(F.concat("question_id", F.lit("-again")).alias("question_id"), "question"))
+    tracker, jobs, found = spark.sparkContext.statusTracker(), {}, {}
+    for most in (200, 3):
+        monkeypatch.setattr(retrieval, "QUESTION_BLOCK", most)
+        spark.sparkContext.setJobGroup(f"search{most}", "search")
+        ranking = retrieval.bm25_search(chunks, asked, 7, stemmer=stem.stem)
+        jobs[most] = len(tracker.getJobIdsForGroup(f"search{most}"))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        found[most] = sorted(ranking.collect())
+        in_parts = {}
+        for r in ranking.withColumn("p", F.spark_partition_id()).collect():
+            in_parts.setdefault(r.question_id.removesuffix("-again"), set()).add(r.p)
+        # a question asked twice is ranked once: both stay in one part, however many parts there are
+        assert all(len(p) == 1 for p in in_parts.values())
+    assert len({p for ps in in_parts.values() for p in ps}) >= 10
+    assert found[200] == found[3] and jobs[3] <= jobs[200] + 3
+
+
+def test_windows_are_cut_with_plain_classes(spark):
+    text = "\u2003one two\u3000\u0085three\x0bfour\u00a0\n five six\x1cseven 𝒳 eight\u2028"
+    pages = spark.createDataFrame([("p", "T", text)], "page_id string, title string, text string")
+    found = chunking.fixed_chunks(pages, chunking.ChunkSettings("fixed_words", 3, 1))
+    rows = sorted((r.start, r.end, r.text) for r in found.collect())
+    assert [r[2] for r in rows] == ["T\none two\u3000\u0085three", "T\nthree\x0bfour\u00a0\n five", "T\nfive six\x1cseven 𝒳", "T\n𝒳 eight"]
+    assert all(text[a:b] == body[2:] for a, b, body in rows)
+    # rare spaces in a class of every word make the expression several times slower
+    assert r"\x{2028}" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_metrics_of_one_ranking(spark):
     ranking = spark.createDataFrame([("q", i + 1, f"d{i + 1}") for i in range(5)], "question_id string, rank int, doc_id string")
     judged = spark.createDataFrame([("q", d, 1) for d in ("d2", "d4", "d9")] + [("z", "d1", 1)], "question_id string, doc_id string, grade int")
