@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from recallforge.operators.ordered import running
 
-TRIALS, BATCH = 10_000, 500
+#: Trials, and draws that are in memory at once: few enough for a processor's cache.
+TRIALS, DRAWS = 10_000, 131_072
+#: Tasks that resampling is spread over.
+TASKS = 64
 
 
 def paired(metrics: DataFrame, pairs: DataFrame, item: str = "question_id") -> DataFrame:
@@ -29,8 +32,9 @@ def means(pairs: DataFrame) -> DataFrame:
 def randomisation(diffs: np.ndarray, trials: int = TRIALS, seed: int = 1) -> float:
     """p-value of the mean under random signs, two-sided, with one added to both counts."""
     rng, observed, extreme = np.random.default_rng(seed), abs(diffs.mean()), 0
-    for first in range(0, trials, BATCH):
-        signs = rng.choice([-1.0, 1.0], (min(BATCH, trials - first), len(diffs)))
+    batch = max(1, DRAWS // len(diffs))  # the draws go on from batch to batch, so they are the same for any
+    for first in range(0, trials, batch):
+        signs = rng.choice([-1.0, 1.0], (min(batch, trials - first), len(diffs)))
         extreme += int((np.abs((signs * diffs).mean(axis=1)) >= observed - 1e-12).sum())
     return (extreme + 1) / (trials + 1)
 
@@ -38,8 +42,9 @@ def randomisation(diffs: np.ndarray, trials: int = TRIALS, seed: int = 1) -> flo
 def bootstrap(values: np.ndarray, trials: int = TRIALS, seed: int = 1, level: float = 0.95) -> tuple[float, float]:
     """Percentile interval of the mean."""
     rng, found = np.random.default_rng(seed), []
-    for first in range(0, trials, BATCH):
-        found.append(values[rng.integers(0, len(values), (min(BATCH, trials - first), len(values)))].mean(axis=1))
+    batch = max(1, DRAWS // len(values))
+    for first in range(0, trials, batch):
+        found.append(values[rng.integers(0, len(values), (min(batch, trials - first), len(values)))].mean(axis=1))
     low, high = np.quantile(np.concatenate(found), [(1 - level) / 2, (1 + level) / 2])
     return float(low), float(high)
 
@@ -52,11 +57,14 @@ def compare(metrics: DataFrame, pairs: DataFrame, trials: int = TRIALS, seed: in
 
     def test(key, group: pd.DataFrame) -> pd.DataFrame:
         diffs = group.sort_values("question_id")["diff"].to_numpy()
-        low, high = bootstrap(diffs, trials, seed)
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "ci_low": [low], "ci_high": [high], "p_value": [randomisation(diffs, trials, seed)]})
+        (low, high), p = (bootstrap(diffs, trials, seed), None) if key[2] == "interval" else ((None, None), randomisation(diffs, trials, seed))
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "ci_low": [low], "ci_high": [high], "p_value": [p]}).astype({c: float for c in ("ci_low", "ci_high", "p_value")})
 
     rows = paired(metrics, pairs)
-    tested = rows.groupBy("a", "b").applyInPandas(test, "a string, b string, ci_low double, ci_high double, p_value double")
+    # each pair's interval and p-value are draws one after another: they get tasks of their own
+    apart = rows.withColumn("what", F.explode(F.array(F.lit("interval"), F.lit("p")))).repartition(TASKS, "a", "b", "what")
+    tested = apart.groupBy("a", "b", "what").applyInPandas(test, "a string, b string, ci_low double, ci_high double, p_value double")
+    tested = tested.groupBy("a", "b").agg(*[F.max(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("ci_low", "ci_high", "p_value")])
     return holm(means(rows).join(tested, ["a", "b"]), "p_value", ["a", "b"])
 
 

@@ -126,6 +126,20 @@ def test_windows_are_cut_with_plain_classes(spark):
     assert r"\x{2028}" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_resampling_holds_few_draws_at_once():
+    import tracemalloc
+
+    diffs = np.random.default_rng(3).choice([0.0, 0.5, -1.0, 1 / 3], 20_001)
+    tracemalloc.start()
+    p, interval = stats.randomisation(diffs, 700), stats.bootstrap(diffs, 700)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    signs, drawn = np.random.default_rng(1).choice([-1.0, 1.0], (700, len(diffs))), np.random.default_rng(1).integers(0, len(diffs), (700, len(diffs)))
+    assert p == ((np.abs((signs * diffs).mean(axis=1)) >= abs(diffs.mean()) - 1e-12).sum() + 1) / 701
+    assert interval == tuple(np.quantile(diffs[drawn].mean(axis=1), [0.025, 0.975]))
+    assert peak < 20e6
+
+
 def test_metrics_of_one_ranking(spark):
     ranking = spark.createDataFrame([("q", i + 1, f"d{i + 1}") for i in range(5)], "question_id string, rank int, doc_id string")
     judged = spark.createDataFrame([("q", d, 1) for d in ("d2", "d4", "d9")] + [("z", "d1", 1)], "question_id string, doc_id string, grade int")
